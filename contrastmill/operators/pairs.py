@@ -177,15 +177,16 @@ def pair_counts(
         F.max("count_reference").alias("frequency")
     )
     wanted = candidates.select(POPULATION, *PAIR).distinct()
-    n_items, n_pairs = dictionary.count(), wanted.count()
-    if n_items <= limits.inline_items:
-        survivors = sorted(dictionary.collect(), key=lambda r: (-r["frequency"], r["item_id"]))
+    survivors = dictionary.limit(limits.inline_items + 1).collect()
+    if len(survivors) <= limits.inline_items:
+        survivors.sort(key=lambda r: (-r["frequency"], r["item_id"]))
         pairs = expand_pairs(
             tagged.select(POPULATION, GROUP, row_item_ids(layout, survivors).alias("ids")), layout
         )
     else:
-        pairs = _pairs_by_join(tagged, layout, dictionary, n_items <= limits.broadcast_items)
-    few = n_pairs <= limits.broadcast_pairs
+        small = dictionary.count() <= limits.broadcast_items
+        pairs = _pairs_by_join(tagged, layout, dictionary, small)
+    few = candidates.count() <= limits.broadcast_pairs or wanted.count() <= limits.broadcast_pairs
     if few:
         pairs = pairs.join(F.broadcast(wanted), [POPULATION, *PAIR], "left_semi")
     counts = pairs.groupBy(POPULATION, *PAIR, GROUP).agg(F.count(F.lit(1)).alias("count_group"))

@@ -15,7 +15,9 @@ from contrastmill.runtime import materialize
 
 def prior_edges(spark: SparkSession, edges: Iterable[tuple[str, str]]) -> DataFrame:
     """Edge table; a node is an attribute name, or ``@family`` for all members of a family."""
-    return spark.createDataFrame(list(edges), "src string, dst string").distinct()
+    rows = [F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst")) for a, b in dict.fromkeys(edges)]
+    table = F.array(*rows) if rows else F.array().cast("array<struct<src:string,dst:string>>")
+    return spark.range(1).select(F.inline(table))
 
 
 def prior_closure(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from contrastmill.functions import stats
 from contrastmill.operators.groups import GROUP, POPULATION
+from contrastmill.operators.pairs import MEMBER_FIELDS, PAIR
+
+FIGURES = ["count_group", "count_reference", "total_group", "total_reference"]
 
 
 def with_statistics(counts: DataFrame) -> DataFrame:
@@ -30,25 +33,31 @@ def support_difference(rows: DataFrame, min_support_diff: float) -> DataFrame:
     return rows.where(F.abs(F.col("support_reference") - F.col("support_group")) >= min_support_diff)
 
 
-def layered_alpha(items: DataFrame, pairs: DataFrame | None = None, alpha: float = 0.05) -> DataFrame:
-    """Significance level of each group and level: ``population, g, level, candidates, alpha``.
+def candidate_levels(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Items and pairs in one table: an item is a candidate with a first member only."""
+    fields = [F.col(f).alias(f"lo_{f}") for f in MEMBER_FIELDS]
+    singles = items.select(
+        POPULATION, GROUP, F.lit(1).alias("level"), F.col("item_id").alias("lo"), *fields, *FIGURES
+    )
+    members = [f"{m}_{f}" for m in PAIR for f in MEMBER_FIELDS]
+    both = pairs.select(POPULATION, GROUP, F.lit(2).alias("level"), *PAIR, *members, *FIGURES)
+    return singles.unionByName(both, allowMissingColumns=True)
+
+
+def layered_alpha(candidates: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Add the significance level of each candidate's group and level, and that of the group's
+    first level as ``alpha_first``.
 
     The budget is halved per level, shared among the candidates of the level, and never above
     that of the level before.
     """
-    sizes = items.groupBy(POPULATION, GROUP).agg(F.count(F.lit(1)).alias("candidates"))
-    sizes = sizes.withColumn("level", F.lit(1))
-    if pairs is not None:
-        second = pairs.groupBy(POPULATION, GROUP).agg(F.count(F.lit(1)).alias("candidates"))
-        sizes = sizes.unionByName(second.withColumn("level", F.lit(2)))
+    group = Window.partitionBy(POPULATION, GROUP)
+    size = F.count(F.lit(1)).over(Window.partitionBy(POPULATION, GROUP, "level"))
     share = F.lit(alpha) / F.pow(F.lit(2.0), F.col("level")) / F.col("candidates")
-    so_far = (
-        Window.partitionBy(POPULATION, GROUP)
-        .orderBy("level")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return sizes.select(
-        POPULATION, GROUP, "level", "candidates", F.min(share).over(so_far).alias("alpha")
+    so_far = group.orderBy("level").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.min(F.when(F.col("level") == 1, share)).over(group)
+    return candidates.withColumn("candidates", size).withColumns(
+        {"alpha": F.min(share).over(so_far), "alpha_first": first}
     )
 
 
@@ -62,18 +71,18 @@ def independence_check(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.abs(expected - support) > slack)
 
 
-def interaction_test(pairs: DataFrame, alpha: str, table: str = "shifted") -> DataFrame:
-    """Keep pairs whose members interact in the group, by the exact test."""
+def interaction_test(pairs: DataFrame, table: str = "shifted") -> DataFrame:
+    """Keep pairs whose members interact in the group, by the exact test at the first level."""
     cells = stats.interaction_cells(
         F.col("count_group"), F.col("lo_count_group"), F.col("hi_count_group"), F.col("total_group"), table
     )
     return (
         pairs.withColumn("interaction_p", stats.fisher_exact(*cells))
-        .where(F.col("interaction_p") <= F.col(alpha))
+        .where(F.col("interaction_p") <= F.col("alpha_first"))
         .drop("interaction_p")
     )
 
 
-def significant(rows: DataFrame, alpha: str, min_corr: float) -> DataFrame:
+def significant(rows: DataFrame, min_corr: float) -> DataFrame:
     """Keep rows significant at their level and correlated enough; undefined statistics go."""
-    return rows.where((F.col("p") <= F.col(alpha)) & (F.col("phi") >= min_corr))
+    return rows.where((F.col("p") <= F.col("alpha")) & (F.col("phi") >= min_corr))

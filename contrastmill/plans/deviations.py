@@ -16,6 +16,7 @@ from contrastmill.operators.items import Layout
 from contrastmill.operators.pairs import Limits
 from contrastmill.runtime import materialize
 
+FIGURES = [*rules.FIGURES, "chi2", "phi"]
 ITEM_FIELDS = ("key", "value", "vtype", "family", "name")
 
 
@@ -76,18 +77,17 @@ def surviving_pairs(
 def accept(level1: DataFrame, level2: DataFrame, closure: DataFrame, settings: Settings) -> DataFrame:
     """Tests, priors and final filtering; all on rule-sized tables."""
     s = settings.min_support_diff
-    levels = rules.layered_alpha(level1, level2, settings.alpha)
     group = [POPULATION, GROUP]
-    alpha1 = levels.where("level = 1").select(*group, F.col("alpha").alias("alpha1"))
-    alpha2 = levels.where("level = 2").select(*group, F.col("alpha").alias("alpha2"))
-
-    tested = rules.with_statistics(rules.support_difference(level1, s)).join(alpha1, group)
-    singles = rules.significant(tested, "alpha1", settings.min_corr)
+    levels = rules.layered_alpha(rules.candidate_levels(level1, level2), settings.alpha)
+    scored = materialize(rules.with_statistics(levels))
+    singles = rules.significant(
+        rules.support_difference(scored.where("level = 1"), s), settings.min_corr
+    ).withColumnRenamed("lo", "item_id")
+    both = scored.where("level = 2")
 
     accepted = singles.select(*group, F.col("item_id").alias("other_id"))
-    linked = priors.conditional_support(
-        priors.possible_priors(level2, closure).join(accepted, [*group, "other_id"], "left_semi")
-    )
+    linked = priors.possible_priors(both, closure).join(accepted, [*group, "other_id"], "left_semi")
+    linked = materialize(priors.conditional_support(linked))
     gone = priors.explained_away(linked, s)
     effective = priors.prior_no_effect(priors.without_explained(linked, gone), s)
     best = priors.best_prior(effective)
@@ -95,18 +95,13 @@ def accept(level1: DataFrame, level2: DataFrame, closure: DataFrame, settings: S
     single_rules = (
         singles.join(gone, [*group, "item_id"], "left_anti")
         .join(best, [*group, "item_id"], "left")
-        .select(
-            *group, F.array(_member("")).alias("items"), *_figures(), "prior",
-        )
-    )
-
-    free = priors.without_explained(level2, gone).join(
-        effective.select(*group, "lo", "hi").distinct(), [*group, "lo", "hi"], "left_anti"
+        .select(*group, F.array(_member("lo_")).alias("items"), *FIGURES, "prior")
     )
-    tested = rules.independence_check(rules.support_difference(free, s)).join(alpha1, group).join(alpha2, group)
-    tested = rules.significant(rules.with_statistics(tested), "alpha2", settings.min_corr)
-    pair_rules = rules.interaction_test(tested, "alpha1", settings.interaction_table).select(
-        *group, F.array(_member("lo_"), _member("hi_")).alias("items"), *_figures(),
+    free = priors.without_explained(
+        rules.significant(rules.independence_check(rules.support_difference(both, s)), settings.min_corr), gone
+    ).join(effective.select(*group, "lo", "hi"), [*group, "lo", "hi"], "left_anti")
+    pair_rules = rules.interaction_test(free, settings.interaction_table).select(
+        *group, F.array(_member("lo_"), _member("hi_")).alias("items"), *FIGURES,
         F.lit(None).cast(best.schema["prior"].dataType).alias("prior"),
     )
     return single_rules.unionByName(pair_rules)
@@ -116,10 +111,6 @@ def _member(prefix: str) -> Column:
     return F.struct(*[F.col(prefix + f).alias(f) for f in ITEM_FIELDS])
 
 
-def _figures() -> list[str]:
-    return ["count_reference", "count_group", "total_reference", "total_group", "chi2", "phi"]
-
-
 def mine(
     tagged: DataFrame, layout: Layout, features: FeatureSet, settings: Settings, overlapping: bool
 ) -> Deviations:
