@@ -89,6 +89,14 @@ def _item(kid: int, name: Column, value: Column) -> Column:
     return F.struct(F.lit(kid).alias("kid"), name.alias("name"), value.alias("value"))
 
 
+def _member_item(kid: int):
+    return lambda member: _item(kid, member, F.lit("true"))
+
+
+def _version_item(kid: int):
+    return lambda version: _item(kid, version["name"], version["value"])
+
+
 def item_array(layout: Layout) -> Column:
     """All items of a row as one array."""
     no_name = F.lit(None).cast("string")
@@ -96,9 +104,9 @@ def item_array(layout: Layout) -> Column:
     parts = [F.array(*plain)] if plain else []
     for s in layout.slots:
         if s.kind == "members":
-            parts.append(F.transform(col(s.column), lambda m, k=s.kid: _item(k, m, F.lit("true"))))
+            parts.append(F.transform(col(s.column), _member_item(s.kid)))
         elif s.kind == "versions":
-            parts.append(F.transform(col(s.column), lambda v, k=s.kid: _item(k, v["name"], v["value"])))
+            parts.append(F.transform(col(s.column), _version_item(s.kid)))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

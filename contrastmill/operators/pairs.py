@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrastmill.operators.groups import GROUP, POPULATION, col, with_reference_count
-from contrastmill.operators.items import Layout, item_array, slot_of
+from contrastmill.operators.items import Layout, Slot, item_array, slot_of
 
 PAIR = ["lo", "hi"]
 
@@ -72,6 +72,15 @@ def _code(value: Column, known: Sequence[tuple[str | None, int]]) -> Column:
     return chain
 
 
+def _codes(slot: Slot, known: Sequence[tuple[str, int]], text: Callable[[Column], Column]) -> Column:
+    """Item ids of the list in a slot; ``text`` is what tells its elements apart."""
+    return F.array_compact(F.transform(col(slot.column), lambda element: _code(text(element), known)))
+
+
+def _of_slot(kid: int) -> Callable[[Column], Column]:
+    return lambda item_id: slot_of(item_id) == kid
+
+
 def row_item_ids(layout: Layout, dictionary: Sequence) -> Column:
     """Ids of the surviving items of a row, in ascending order.
 
@@ -89,18 +98,10 @@ def row_item_ids(layout: Layout, dictionary: Sequence) -> Column:
         if slot.kind == "scalar":
             plain.append(_code(col(slot.column).cast("string"), [(r["value"], r["item_id"]) for r in rows]))
         elif slot.kind == "members":
-            known = [(r["name"], r["item_id"]) for r in rows]
-            lists.append(F.array_compact(F.transform(col(slot.column), lambda m, k=known: _code(m, k))))
+            lists.append(_codes(slot, [(r["name"], r["item_id"]) for r in rows], lambda m: m))
         else:
             known = [(f"{r['name']}:{r['value']}", r["item_id"]) for r in rows]
-            lists.append(
-                F.array_compact(
-                    F.transform(
-                        col(slot.column),
-                        lambda v, k=known: _code(F.concat(v["name"], F.lit(":"), v["value"]), k),
-                    )
-                )
-            )
+            lists.append(_codes(slot, known, lambda v: F.concat(v["name"], F.lit(":"), v["value"])))
     parts = [F.array_compact(F.array(*plain))] if plain else []
     parts += lists
     if not parts:
@@ -117,7 +118,7 @@ def expand_pairs(rows: DataFrame, layout: Layout) -> DataFrame:
     restricted = layout.restricted
     slots = list(restricted)
     free = F.filter("ids", lambda i: ~slot_of(i).isin(slots)) if slots else F.col("ids")
-    aside = [F.filter("ids", lambda i, k=k: slot_of(i) == k).alias(f"ids_{k}") for k in slots]
+    aside = [F.filter("ids", _of_slot(k)).alias(f"ids_{k}") for k in slots]
     rows = rows.select(POPULATION, GROUP, free.alias("ids"), *aside)
     first = rows.select("*", F.posexplode("ids").alias("pos", "lo"))
     parts = [F.slice("ids", F.col("pos") + 2, F.size("ids"))]
