@@ -1,12 +1,15 @@
-"""English stemming (the published Porter2 rules) as a chain of column projections.
+"""English stemming (the published Porter2 rules) as one column expression.
 
-The input is a table of words with counts, already reduced to one row per group and word, so
-the chain runs on vocabulary-sized data and stays in the JVM.
+Apply it to words already counted, one row per group and word: it stays in the JVM and runs on
+vocabulary-sized data. Each rule needs the word the one before it made several times over, so
+intermediate words are bound to lambda variables rather than repeated in the expression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The word lists and suffix tables of the published algorithm.
@@ -56,94 +59,148 @@ def _swap(suffix: Column, table: dict[str, str]) -> Column:
     return chain
 
 
-def with_stem(df: DataFrame, source: str, target: str) -> DataFrame:
-    """Add the stem of the lower-cased word in ``source`` as column ``target``."""
-    w, s, r1, r2 = (F.col(f"__{n}") for n in ("w", "s", "r1", "r2"))
-    kept = df.columns
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
-    def step(frame: DataFrame, word: Column, endings=None) -> DataFrame:
-        """One projection: the new word, then the suffix the next rule looks at."""
-        frame = frame.withColumn("__w", F.when(F.col("__go"), word).otherwise(w))
-        return frame if endings is None else frame.withColumn("__s", _suffix(w, endings))
 
-    in_r1 = F.length(w) - F.length(s) >= r1
-    in_r2 = F.length(w) - F.length(s) >= r2
-    stem = _cut(w, s)
+def _after_vowel_and_other(word: Column) -> Column:
+    """How many letters up to the first vowel followed by another letter; all without one."""
+    at = F.regexp_instr(word, F.lit(_VOWEL + _OTHER))
+    return F.when(at > 0, at + 1).otherwise(F.length(word))
 
-    out = df.withColumn("__w", F.lower(F.col(source)))
-    out = out.withColumn("__go", (F.length(w) > 2) & ~w.isin(*WHOLE_WORDS))
-    out = out.withColumn("__w", F.when(F.col("__go"), w).otherwise(_whole_word(w)))
 
-    # A y at the start or after a vowel is a consonant from here on, written Y.
-    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "^'", ""), "^y", "Y"), "([aeiouy])y", "$1Y")
-    out = step(out, marked)
+def _region1(word: Column) -> Column:
+    fixed = F.length(F.regexp_extract(word, "^(gener|commun|arsen)", 1))
+    return F.when(fixed > 0, fixed).otherwise(_after_vowel_and_other(word))
 
-    after = F.regexp_instr(w, F.lit(_VOWEL + _OTHER)) + 1
-    fixed = F.length(F.regexp_extract(w, "^(gener|commun|arsen)", 1))
-    out = out.withColumn(
-        "__r1", F.when(fixed > 0, fixed).when(after > 1, after).otherwise(F.length(w))
-    )
-    rest = F.regexp_instr(F.substr(w, r1 + 1), F.lit(_VOWEL + _OTHER)) + 1
-    out = out.withColumn("__r2", F.when(rest > 1, r1 + rest).otherwise(F.length(w)))
-
-    # 0 and 1a: possessives and plurals.
-    out = step(out, F.regexp_replace(w, "('s'|'s|')$", ""), ("sses", "ied", "ies", "us", "ss", "s"))
-    plural = (
-        F.when(s == "sses", F.concat(stem, F.lit("ss")))
-        .when(s.isin("ied", "ies"), F.concat(stem, F.when(F.length(stem) > 1, "i").otherwise("ie")))
-        .when((s == "s") & w.rlike(f"{_VOWEL}.+s$"), stem)
-        .otherwise(w)
-    )
-    out = step(out, plural)
-    out = out.withColumn("__go", F.col("__go") & ~w.isin(*KEPT_AFTER_PLURAL))
-    out = out.withColumn("__s", _suffix(w, ("eedly", "ingly", "edly", "eed", "ing", "ed")))
-
-    # 1b: past and progressive forms; ``__cut`` remembers that the ending went.
-    out = out.withColumn("__cut", F.col("__go") & s.isin("ed", "edly", "ing", "ingly") & stem.rlike(_VOWEL))
-    past = (
-        F.when(s.isin("eed", "eedly"), F.when(in_r1, F.concat(stem, F.lit("ee"))).otherwise(w))
-        .when(F.col("__cut"), stem)
-        .otherwise(w)
-    )
-    out = step(out, past)
-    short = (r1 >= F.length(w)) & w.rlike(_SHORT_END)
-    mended = (
-        F.when(w.rlike("(at|bl|iz)$"), F.concat(w, F.lit("e")))
-        .when(w.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.substr(w, F.lit(1), F.length(w) - 1))
-        .when(short, F.concat(w, F.lit("e")))
-        .otherwise(w)
-    )
-    out = step(out, F.when(F.col("__cut"), mended).otherwise(w))
 
-    # 1c
-    out = step(out, F.regexp_replace(w, f"^(.+{_OTHER})[yY]$", "$1i"), STEP2)
+def _region2(word: Column, r1: Column) -> Column:
+    return r1 + _after_vowel_and_other(F.substr(word, r1 + 1))
+
+
+def _within(word: Column, suffix: Column, region: Column) -> Column:
+    return F.length(word) - F.length(suffix) >= region
+
+
+def _plural(w: Column) -> Column:
+    """Steps 0 and 1a: possessives and plurals."""
+
+    def rule(w: Column) -> Column:
+        def ending(s: Column) -> Column:
+            stem = _cut(w, s)
+            return (
+                F.when(s == "sses", F.concat(stem, F.lit("ss")))
+                .when(s.isin("ied", "ies"), F.concat(stem, F.when(F.length(stem) > 1, "i").otherwise("ie")))
+                .when((s == "s") & w.rlike(f"{_VOWEL}.+s$"), stem)
+                .otherwise(w)
+            )
+
+        return _bind(_suffix(w, ("sses", "ied", "ies", "us", "ss", "s")), ending)
+
+    return _bind(F.regexp_replace(w, "('s'|'s|')$", ""), rule)
+
+
+def _past(w: Column, r1: Column) -> Column:
+    """Step 1b: past and progressive forms."""
+
+    def mended(stem: Column) -> Column:
+        short = (r1 >= F.length(stem)) & stem.rlike(_SHORT_END)
+        return (
+            F.when(stem.rlike("(at|bl|iz)$"), F.concat(stem, F.lit("e")))
+            .when(stem.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.substr(stem, F.lit(1), F.length(stem) - 1))
+            .when(short, F.concat(stem, F.lit("e")))
+            .otherwise(stem)
+        )
+
+    def ending(s: Column) -> Column:
+        stem = _cut(w, s)
+        return (
+            F.when(s.isin("eed", "eedly"), F.when(_within(w, s, r1), F.concat(stem, F.lit("ee"))).otherwise(w))
+            .when((s != "") & stem.rlike(_VOWEL), _bind(stem, mended))
+            .otherwise(w)
+        )
+
+    return _bind(_suffix(w, ("eedly", "ingly", "edly", "eed", "ing", "ed")), ending)
 
-    # 2
-    allowed = (
-        F.when(s == "li", stem.rlike("[cdeghkmnrt]$")).when(s == "ogi", stem.rlike("l$")).otherwise(s != "")
-    )
-    out = step(out, F.when(in_r1 & allowed, F.concat(stem, _swap(s, STEP2))).otherwise(w), STEP3)
 
-    # 3
-    allowed = F.when(s == "ative", in_r2).otherwise(s != "")
-    out = step(out, F.when(in_r1 & allowed, F.concat(stem, _swap(s, STEP3))).otherwise(w), STEP4)
+def _final_y(w: Column) -> Column:
+    """Step 1c."""
+    return F.regexp_replace(w, f"^(.+{_OTHER})[yY]$", "$1i")
 
-    # 4
-    allowed = F.when(s == "ion", stem.rlike("[st]$")).otherwise(s != "")
-    out = step(out, F.when(in_r2 & allowed, stem).otherwise(w), ("e", "l"))
 
-    # 5
-    last = (
-        F.when((s == "e") & (in_r2 | (in_r1 & ~stem.rlike(_SHORT_END))), stem)
-        .when((s == "l") & in_r2 & stem.rlike("l$"), stem)
-        .otherwise(w)
+def _step2(w: Column, r1: Column) -> Column:
+    def ending(s: Column) -> Column:
+        stem = _cut(w, s)
+        allowed = (
+            F.when(s == "li", stem.rlike("[cdeghkmnrt]$")).when(s == "ogi", stem.rlike("l$")).otherwise(s != "")
+        )
+        return F.when(_within(w, s, r1) & allowed, F.concat(stem, _swap(s, STEP2))).otherwise(w)
+
+    return _bind(_suffix(w, STEP2), ending)
+
+
+def _step3(w: Column, r1: Column, r2: Column) -> Column:
+    def ending(s: Column) -> Column:
+        allowed = F.when(s == "ative", _within(w, s, r2)).otherwise(s != "")
+        return F.when(_within(w, s, r1) & allowed, F.concat(_cut(w, s), _swap(s, STEP3))).otherwise(w)
+
+    return _bind(_suffix(w, STEP3), ending)
+
+
+def _step4(w: Column, r2: Column) -> Column:
+    def ending(s: Column) -> Column:
+        stem = _cut(w, s)
+        allowed = F.when(s == "ion", stem.rlike("[st]$")).otherwise(s != "")
+        return F.when(_within(w, s, r2) & allowed, stem).otherwise(w)
+
+    return _bind(_suffix(w, STEP4), ending)
+
+
+def _step5(w: Column, r1: Column, r2: Column) -> Column:
+    def ending(s: Column) -> Column:
+        stem = _cut(w, s)
+        drop_e = _within(w, s, r2) | (_within(w, s, r1) & ~stem.rlike(_SHORT_END))
+        return (
+            F.when((s == "e") & drop_e, stem)
+            .when((s == "l") & _within(w, s, r2) & stem.rlike("l$"), stem)
+            .otherwise(w)
+        )
+
+    return _bind(_suffix(w, ("e", "l")), ending)
+
+
+def _regular(word: Column) -> Column:
+    # A y at the start or after a vowel is a consonant, written Y while the rules run.
+    marked = F.regexp_replace(F.regexp_replace(word, "^'", ""), "^y", "Y")
+    marked = F.regexp_replace(marked, "([aeiouy])y", "$1Y")
+
+    def with_regions(w: Column, r1: Column, r2: Column) -> Column:
+        def rest(w: Column) -> Column:
+            steps = (
+                lambda w: _past(w, r1), _final_y, lambda w: _step2(w, r1), lambda w: _step3(w, r1, r2),
+                lambda w: _step4(w, r2), lambda w: _step5(w, r1, r2),
+            )
+            for step in steps:
+                w = _bind(w, step)
+            return w
+
+        return _bind(_plural(w), lambda p: F.when(p.isin(*KEPT_AFTER_PLURAL), p).otherwise(rest(p)))
+
+    stem = _bind(
+        marked,
+        lambda w: _bind(_region1(w), lambda r1: _bind(_region2(w, r1), lambda r2: with_regions(w, r1, r2))),
     )
-    out = step(out, last)
-    return out.select(*kept, F.translate(w, "Y", "y").alias(target))
+    return F.translate(stem, "Y", "y")
 
 
-def _whole_word(word: Column) -> Column:
-    chain = word
-    for whole, stem in WHOLE_WORDS.items():
-        chain = F.when(word == whole, stem).otherwise(chain)
-    return chain
+def stem(word: Column) -> Column:
+    """Stem of the lower-cased word."""
+
+    def choose(w: Column) -> Column:
+        chain = F.when(F.length(w) <= 2, w)
+        for whole, short in WHOLE_WORDS.items():
+            chain = chain.when(w == whole, short)
+        return chain.otherwise(_regular(w))
+
+    return _bind(F.lower(word), choose)

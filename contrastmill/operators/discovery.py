@@ -67,22 +67,25 @@ def feature_ids(kept: DataFrame, prefix: Column | str = "MOD") -> DataFrame:
 def keep_discovered(items: DataFrame, layout: Layout, min_support: float) -> DataFrame:
     """Apply the thresholds to the families inside an item table with supports.
 
-    Versions stay if their member is kept anywhere in the population; other items pass.
+    Versions stay if their member is kept anywhere in the population; other items pass. Give it
+    the items that passed the support test, which are few; it adds no scan of the records.
     """
     found = layout.discovered
     if not found:
         return items
     family = F.coalesce("family", F.lit(""))
-    members = [f.name for f in found]
+    is_member = family.isin([f.name for f in found])
+    own_only = family.isin([f.name for f in found if not f.by_reference])
+    passes = (F.col("support_group") > min_support) | (~own_only & (F.col("support_reference") > min_support))
     versions = [f.version_name for f in found if f.versions is not None]
-    own_only = [f.name for f in found if not f.by_reference]
-    kept = feature_threshold(items.where(family.isin(members)), min_support, ~family.isin(own_only))
-    other = items.where(~family.isin(members + versions))
-    result = other.unionByName(kept)
-    if versions:
-        names = kept.select(
-            POPULATION, F.concat("family", F.lit(VERSION_SUFFIX)).alias("family"), "name"
-        ).distinct()
-        of_kept = items.where(family.isin(versions)).join(names, [POPULATION, "family", "name"], "left_semi")
-        result = result.unionByName(of_kept)
-    return result
+    if not versions:
+        return items.where(~is_member | passes)
+    is_version = family.isin(versions)
+    base = F.when(is_version, F.substr(family, F.lit(1), F.length(family) - len(VERSION_SUFFIX))).otherwise(family)
+    of_member = Window.partitionBy(POPULATION, "__base", "__name")
+    return (
+        items.withColumns({"__base": base, "__name": F.coalesce("name", "key"), "__kept": is_member & passes})
+        .withColumn("__listed", F.max("__kept").over(of_member))
+        .where(F.col("__kept") | (is_version & F.col("__listed")) | ~(is_member | is_version))
+        .drop("__base", "__name", "__kept", "__listed")
+    )

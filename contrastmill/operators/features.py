@@ -52,15 +52,26 @@ def addon_family(column: str = "addons", name: str = "addon", known: Iterable[st
     """Members and versions out of an array of ``name:version`` entries."""
 
     def versions() -> Column:
-        entries = F.filter(col(column), lambda e: e.contains(":"))
-        names = F.transform(entries, scalars.addon_name)
-        first = F.filter(entries, lambda e, i: F.array_position(names, scalars.addon_name(e)) == i + 1)
-        return F.transform(
-            first,
-            lambda e: F.struct(
-                scalars.addon_name(e).alias("name"), scalars.addon_version_text(e).alias("value")
+        # Sorted by name and position, the first entry of a name is the one after another name.
+        listed = F.array_sort(
+            F.transform(
+                F.filter(col(column), lambda e: e.contains(":")),
+                lambda e, i: F.struct(
+                    scalars.addon_name(e).alias("name"), i.alias("position"),
+                    scalars.addon_version_text(e).alias("value"),
+                ),
+            )
+        )
+        before = F.slice(listed, F.lit(1), F.greatest(F.size(listed) - 1, F.lit(0)))
+        before = F.concat(F.array(F.lit(None)), before)
+        first = F.zip_with(
+            listed,
+            before,
+            lambda e, p: F.when(
+                p.isNull() | (p["name"] != e["name"]), F.struct(e["name"].alias("name"), e["value"].alias("value"))
             ),
         )
+        return F.array_compact(first)
 
     return Family(
         name=name,

@@ -120,7 +120,8 @@ def expand_pairs(rows: DataFrame, layout: Layout) -> DataFrame:
     free = F.filter("ids", lambda i: ~slot_of(i).isin(slots)) if slots else F.col("ids")
     aside = [F.filter("ids", _of_slot(k)).alias(f"ids_{k}") for k in slots]
     rows = rows.select(POPULATION, GROUP, free.alias("ids"), *aside)
-    first = rows.select("*", F.posexplode("ids").alias("pos", "lo"))
+    # The outer form keeps Catalyst from adding a filter that would build the ids a second time.
+    first = rows.select("*", F.posexplode_outer("ids").alias("pos", "lo"))
     parts = [F.slice("ids", F.col("pos") + 2, F.size("ids"))]
     kid_of_key = {s.key: s.kid for s in layout.slots if s.kind == "scalar" and s.family is None}
     for kid, keys in restricted.items():

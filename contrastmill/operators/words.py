@@ -8,7 +8,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrastmill.functions.stemming import with_stem
+from contrastmill.functions.stemming import stem as stemmed
 from contrastmill.operators.groups import GROUP, POPULATION, col, group_by_equality
 from contrastmill.runtime import materialize
 
@@ -47,9 +47,8 @@ def clean_words(counts: DataFrame, stem: bool = True) -> DataFrame:
 
     Works on counted words, so each group's vocabulary is stemmed once however often used.
     """
-    if stem:
-        counts = with_stem(counts, "word", "word_stem").drop("word").withColumnRenamed("word_stem", "word")
-    stripped = F.translate("word", PUNCTUATION, "")
+    word = stemmed(F.col("word")) if stem else F.col("word")
+    stripped = F.translate(word, PUNCTUATION, "")
     return (
         counts.withColumn("word", stripped)
         .where(F.col("word") != "")

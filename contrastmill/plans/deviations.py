@@ -50,7 +50,7 @@ def surviving_items(
     s = settings.min_support_diff
     counted = items.min_count_filter(items.item_counts(tagged, layout, overlapping), settings.min_count)
     found = items.grouped_support(counted, totals)
-    kept = pruning.prune_support(discovery.keep_discovered(found, layout, s), s, settings.min_count)
+    kept = discovery.keep_discovered(pruning.prune_support(found, s, settings.min_count), layout, s)
     # The rules below all look at the survivors of the support test, so they only mark rows
     # of one another's input that the others never look at.
     kept = pruning.prune_false_flag(kept)
