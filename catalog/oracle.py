@@ -249,13 +249,14 @@ pair_rules AS (
   SELECT * FROM tested WHERE ({fisher("cg", "(tg - lo_cg)", "(tg - hi_cg)", "(tg - cg)")}) <= alpha1
 ),
 rules AS (
-  SELECT s.g, 1 AS n, {label("s.")} AS item1, NULL AS item2, s.key AS label_key, s.value, s.family, s.name, s.vtype,
+  SELECT s.g, 1 AS n, {label("s.")} AS item1, CAST(NULL AS VARCHAR) AS item2, s.key AS label_key, s.value, s.family, s.name, s.vtype,
          s.cg, s.cr, s.tg, s.tr, s.chi, s.phi,
          CASE WHEN b.g IS NOT NULL THEN {label("b.prior_")} END AS prior,
          b.prior_key, b.prior_value, CASE WHEN b.prior_id = b.lo THEN b.lo_vtype ELSE b.hi_vtype END AS prior_vtype,
          b.cg AS prior_count_group, b.cr AS prior_count_reference, b.prior_cg AS prior_total_group,
          CAST(b.prior_cr AS BIGINT) AS prior_total_reference,
-         s.key AS k1, s.value AS v1, s.vtype AS t1, NULL AS k2, NULL AS v2, NULL AS t2
+         s.key AS k1, s.value AS v1, s.vtype AS t1, CAST(NULL AS VARCHAR) AS k2, CAST(NULL AS VARCHAR) AS v2,
+         CAST(NULL AS VARCHAR) AS t2
   FROM singles s LEFT JOIN best b ON b.g = s.g AND b.other_id = s.id
   WHERE NOT EXISTS (SELECT 1 FROM gone x WHERE x.g = s.g AND x.id = s.id)
   UNION ALL
@@ -615,7 +616,7 @@ def shown(k: str, v: str, t: str) -> str:
 
 def percent(x: str) -> str:
     text = f"printf('%.2f', round_even(({x}) * 100, 2))"
-    return f"CASE WHEN {text} = '100.00' THEN '100.0' ELSE lpad({text}, greatest(length({text}), 5), '0') END"
+    return f"CASE WHEN {text} = '100.00' THEN '100.0' ELSE lpad({text}, CAST(greatest(length({text}), 5) AS INTEGER), '0') END"
 
 
 TEXT = f"""shown AS (

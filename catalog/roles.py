@@ -24,7 +24,10 @@ AS_OF = "2024-01-31"
 PATTERNS = ("the", "und", "que", "ción", "ê", "###", "@", "Lorem?")
 
 # What may explain what among the document attributes.
-DOC_EDGES = (("has_e", "has_the"), ("has_the", "size"), ("source", "quality"), ("quality", "source"))
+DOC_EDGES = (
+    ("has_the", "has_e"), ("size", "has_the"), ("toxic", "has_the"), ("source", "size"),
+    ("source", "quality"), ("quality", "source"),
+)
 WORD_EDGES = (("long", "@addon"), ("long", "@addon-version"), ("long", "@module"), ("size", "@text"))
 
 
