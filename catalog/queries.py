@@ -796,7 +796,7 @@ def batch_by_channel_rules(spark, sf):
 
 
 def _comments(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", "source", "lang", F.col("text").alias("user_comments"))
+    df = roles.spread(spark, sf, "documents").select("doc_id", "source", "lang", F.col("text").alias("user_comments"))
     return grouping.group_by_equality(words.filter_comments(df, "user_comments", "lang"), "source")
 
 
@@ -853,12 +853,12 @@ def inverse_doc_frequency(spark, sf):
 @query
 def top_words(spark, sf):
     ranked = words.top_words(
-        table(spark, sf, "documents"), "source", [f"src{i}" for i in range(12)], comment="text", locale="lang", stem=False
+        roles.spread(spark, sf, "documents"), "source", [f"src{i}" for i in range(12)], comment="text", locale="lang", stem=False
     )
     return ranked.select("g", F.col("rank").cast("bigint").alias("rank"), "word", "tf", r6("tfidf").alias("tfidf"))
 
 
 @query
 def top_words_stemmed(spark, sf):
-    ranked = words.top_words(table(spark, sf, "conversations"), "role", comment="text", locale=None)
+    ranked = words.top_words(roles.spread(spark, sf, "conversations"), "role", comment="text", locale=None)
     return ranked.select("g", F.col("rank").cast("bigint").alias("rank"), "word", "tf", r6("tfidf").alias("tfidf"))

@@ -17,6 +17,7 @@ from contrastmill.operators.features import (
     module_family,
     text_family,
 )
+from contrastmill.sources.records import spread_scan
 
 AS_OF = "2024-01-31"
 
@@ -35,11 +36,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row; the provided files have one split each."""
+    return spread_scan(table(spark, sf, name))
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with their labels where they have some; ``lang`` is the group."""
     text, n = F.col("text"), F.col("n_chars")
     return (
-        table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+        spread(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
         .select(
             "lang", "source", F.col("quality").cast("string").alias("quality"), "toxic",
             text.contains("the").alias("has_the"), text.contains("ê").alias("has_e"), (n > 2000).alias("long"),
@@ -67,7 +73,7 @@ def module_struct():
 
 def word_records(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as records with add-ons, nested modules and a free text."""
-    return table(spark, sf, "documents").select(
+    return spread(spark, sf, "documents").select(
         "doc_id", "lang", "source", "n_chars", "text",
         addon_entries().alias("addons"), module_struct().alias("json_dump"),
     )

@@ -7,11 +7,11 @@ intermediate words are bound to lambda variables rather than repeated in the exp
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from contrastmill.functions.binding import bind
+
 # The word lists and suffix tables of the published algorithm.
 WHOLE_WORDS = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
@@ -59,11 +59,6 @@ def _swap(suffix: Column, table: dict[str, str]) -> Column:
     return chain
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
-
-
 def _after_vowel_and_other(word: Column) -> Column:
     """How many letters up to the first vowel followed by another letter; all without one."""
     at = F.regexp_instr(word, F.lit(_VOWEL + _OTHER))
@@ -96,9 +91,9 @@ def _plural(w: Column) -> Column:
                 .otherwise(w)
             )
 
-        return _bind(_suffix(w, ("sses", "ied", "ies", "us", "ss", "s")), ending)
+        return bind(_suffix(w, ("sses", "ied", "ies", "us", "ss", "s")), ending)
 
-    return _bind(F.regexp_replace(w, "('s'|'s|')$", ""), rule)
+    return bind(F.regexp_replace(w, "('s'|'s|')$", ""), rule)
 
 
 def _past(w: Column, r1: Column) -> Column:
@@ -117,11 +112,11 @@ def _past(w: Column, r1: Column) -> Column:
         stem = _cut(w, s)
         return (
             F.when(s.isin("eed", "eedly"), F.when(_within(w, s, r1), F.concat(stem, F.lit("ee"))).otherwise(w))
-            .when((s != "") & stem.rlike(_VOWEL), _bind(stem, mended))
+            .when((s != "") & stem.rlike(_VOWEL), bind(stem, mended))
             .otherwise(w)
         )
 
-    return _bind(_suffix(w, ("eedly", "ingly", "edly", "eed", "ing", "ed")), ending)
+    return bind(_suffix(w, ("eedly", "ingly", "edly", "eed", "ing", "ed")), ending)
 
 
 def _final_y(w: Column) -> Column:
@@ -137,7 +132,7 @@ def _step2(w: Column, r1: Column) -> Column:
         )
         return F.when(_within(w, s, r1) & allowed, F.concat(stem, _swap(s, STEP2))).otherwise(w)
 
-    return _bind(_suffix(w, STEP2), ending)
+    return bind(_suffix(w, STEP2), ending)
 
 
 def _step3(w: Column, r1: Column, r2: Column) -> Column:
@@ -145,7 +140,7 @@ def _step3(w: Column, r1: Column, r2: Column) -> Column:
         allowed = F.when(s == "ative", _within(w, s, r2)).otherwise(s != "")
         return F.when(_within(w, s, r1) & allowed, F.concat(_cut(w, s), _swap(s, STEP3))).otherwise(w)
 
-    return _bind(_suffix(w, STEP3), ending)
+    return bind(_suffix(w, STEP3), ending)
 
 
 def _step4(w: Column, r2: Column) -> Column:
@@ -154,7 +149,7 @@ def _step4(w: Column, r2: Column) -> Column:
         allowed = F.when(s == "ion", stem.rlike("[st]$")).otherwise(s != "")
         return F.when(_within(w, s, r2) & allowed, stem).otherwise(w)
 
-    return _bind(_suffix(w, STEP4), ending)
+    return bind(_suffix(w, STEP4), ending)
 
 
 def _step5(w: Column, r1: Column, r2: Column) -> Column:
@@ -167,7 +162,7 @@ def _step5(w: Column, r1: Column, r2: Column) -> Column:
             .otherwise(w)
         )
 
-    return _bind(_suffix(w, ("e", "l")), ending)
+    return bind(_suffix(w, ("e", "l")), ending)
 
 
 def _regular(word: Column) -> Column:
@@ -182,14 +177,14 @@ def _regular(word: Column) -> Column:
                 lambda w: _step4(w, r2), lambda w: _step5(w, r1, r2),
             )
             for step in steps:
-                w = _bind(w, step)
+                w = bind(w, step)
             return w
 
-        return _bind(_plural(w), lambda p: F.when(p.isin(*KEPT_AFTER_PLURAL), p).otherwise(rest(p)))
+        return bind(_plural(w), lambda p: F.when(p.isin(*KEPT_AFTER_PLURAL), p).otherwise(rest(p)))
 
-    stem = _bind(
+    stem = bind(
         marked,
-        lambda w: _bind(_region1(w), lambda r1: _bind(_region2(w, r1), lambda r2: with_regions(w, r1, r2))),
+        lambda w: bind(_region1(w), lambda r1: bind(_region2(w, r1), lambda r2: with_regions(w, r1, r2))),
     )
     return F.translate(stem, "Y", "y")
 
@@ -203,4 +198,4 @@ def stem(word: Column) -> Column:
             chain = chain.when(w == whole, short)
         return chain.otherwise(_regular(w))
 
-    return _bind(F.lower(word), choose)
+    return bind(F.lower(word), choose)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrastmill.functions import scalars
+from contrastmill.functions.binding import bind
 from contrastmill.operators.groups import col
 
 VERSION_SUFFIX = "-version"
@@ -51,28 +52,26 @@ class Family:
 def addon_family(column: str = "addons", name: str = "addon", known: Iterable[str] | None = None) -> Family:
     """Members and versions out of an array of ``name:version`` entries."""
 
-    def versions() -> Column:
-        # Sorted by name and position, the first entry of a name is the one after another name.
-        listed = F.array_sort(
-            F.transform(
-                F.filter(col(column), lambda e: e.contains(":")),
-                lambda e, i: F.struct(
-                    scalars.addon_name(e).alias("name"), i.alias("position"),
-                    scalars.addon_version_text(e).alias("value"),
-                ),
-            )
-        )
+    def entry(e: Column, i: Column) -> Column:
+        name, value = scalars.addon_name(e), scalars.addon_version_text(e)
+        return F.struct(name.alias("name"), i.alias("position"), value.alias("value"))
+
+    def first_of_each(listed: Column) -> Column:
         before = F.slice(listed, F.lit(1), F.greatest(F.size(listed) - 1, F.lit(0)))
-        before = F.concat(F.array(F.lit(None)), before)
         first = F.zip_with(
             listed,
-            before,
+            F.concat(F.array(F.lit(None)), before),
             lambda e, p: F.when(
                 p.isNull() | (p["name"] != e["name"]), F.struct(e["name"].alias("name"), e["value"].alias("value"))
             ),
         )
         return F.array_compact(first)
 
+    def versions() -> Column:
+        # Sorted by name and position, the first entry of a name is the one after another name.
+        parsable = F.filter(col(column), lambda e: e.contains(":"))
+        return bind(F.array_sort(F.transform(parsable, entry)), first_of_each)
+
     return Family(
         name=name,
         inputs=(column,),
@@ -170,18 +169,22 @@ def derive_features(df: DataFrame, features: FeatureSet) -> tuple[DataFrame, tup
     have = set(df.columns)
     families = tuple(f for f in features.families if have.issuperset(f.inputs))
     added: dict[str, Column] = {s.key: s.column for s in features.specs if have.issuperset(s.inputs)}
+    members: dict[str, Column] = {}
     for family in families:
         if family.known is not None:
             added |= {member: family.flag(member) for member in family.known}
             if family.version is not None:
                 added |= {member + VERSION_SUFFIX: family.version(member) for member in family.known}
             continue
-        empty = F.array().cast("array<string>")
-        added[member_column(family)] = F.coalesce(family.present(), empty)
         if family.versions is not None:
+            # Versions come one per member, so the members are their names.
             nothing = F.array().cast("array<struct<name:string,value:string>>")
             added[version_column(family)] = F.coalesce(family.versions(), nothing)
+            members[member_column(family)] = F.transform(col(version_column(family)), lambda v: v["name"])
+        else:
+            added[member_column(family)] = F.coalesce(family.present(), F.array().cast("array<string>"))
     df = df.withColumns(added) if added else df
+    df = df.withColumns(members) if members else df
     for old, new in features.renames:
         df = rename_legacy_column(df, old, new)
     return drop_non_features(df, features.drop), families

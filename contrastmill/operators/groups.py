@@ -70,17 +70,26 @@ def compare_populations(reference: DataFrame, groups: Mapping[str, DataFrame]) -
 
 
 def with_reference_count(
-    counts: DataFrame, keys: Sequence[str], overlapping: bool = False
+    counts: DataFrame, keys: Sequence[str], overlapping: bool = False, many_groups: bool = False
 ) -> DataFrame:
     """Add ``count_reference`` to counts per key and group, keeping the rows of real groups.
 
     The reference count is the sum over all groups, or with overlapping groups the count of the
-    reference rows themselves. A key holds at most one row per group here.
+    reference rows themselves. With few groups a key has few rows and a window adds its sum in
+    one shuffle. With ``many_groups`` a key may have a row for each of millions of them, so the
+    sum is a partial aggregate joined back, which splits such keys.
     """
     own = F.col("count_group")
     counted = F.when(F.col(GROUP).isNull(), own) if overlapping else own
-    total = F.sum(counted).over(Window.partitionBy(*keys))
-    return counts.withColumn("count_reference", F.coalesce(total, F.lit(0))).where(F.col(GROUP).isNotNull())
+    if not many_groups:
+        total = F.sum(counted).over(Window.partitionBy(*keys))
+        with_total = counts.withColumn("count_reference", F.coalesce(total, F.lit(0)))
+        return with_total.where(F.col(GROUP).isNotNull())
+    sums = counts.groupBy(*keys).agg(F.coalesce(F.sum(counted), F.lit(0)).alias("count_reference"))
+    sums = sums.select("count_reference", *[F.col(k).alias(f"__{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    real = counts.where(F.col(GROUP).isNotNull())
+    return real.join(sums, same).drop(*[f"__{k}" for k in keys])
 
 
 def reference_total(tagged: DataFrame, overlapping: bool = False) -> DataFrame:

@@ -115,7 +115,9 @@ def item_rows(tagged: DataFrame, layout: Layout) -> DataFrame:
     return tagged.select(POPULATION, GROUP, F.inline(item_array(layout)))
 
 
-def item_counts(tagged: DataFrame, layout: Layout, overlapping: bool = False) -> DataFrame:
+def item_counts(
+    tagged: DataFrame, layout: Layout, overlapping: bool = False, many_groups: bool = False
+) -> DataFrame:
     """Occurrences of every item, null values included, per group and in the reference.
 
     Scalars and all families are counted in the same scan. Partial aggregation runs before the
@@ -126,7 +128,7 @@ def item_counts(tagged: DataFrame, layout: Layout, overlapping: bool = False) ->
         .groupBy(POPULATION, *ITEM, GROUP)
         .agg(F.count(F.lit(1)).alias("count_group"))
     )
-    return describe_items(with_reference_count(counts, [POPULATION, *ITEM], overlapping), layout)
+    return describe_items(with_reference_count(counts, [POPULATION, *ITEM], overlapping, many_groups), layout)
 
 
 def describe_items(counts: DataFrame, layout: Layout) -> DataFrame:

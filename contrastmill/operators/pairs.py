@@ -168,6 +168,7 @@ def pair_counts(
     candidates: DataFrame,
     overlapping: bool = False,
     limits: Limits = Limits(),
+    many_groups: bool = False,
 ) -> DataFrame:
     """Rows that have both items of a candidate pair, per group and in the reference.
 
@@ -194,5 +195,5 @@ def pair_counts(
     counts = pairs.groupBy(POPULATION, *PAIR, GROUP).agg(F.count(F.lit(1)).alias("count_group"))
     if not few:
         counts = counts.join(wanted, [POPULATION, *PAIR], "left_semi")
-    counts = with_reference_count(counts, [POPULATION, *PAIR], overlapping)
+    counts = with_reference_count(counts, [POPULATION, *PAIR], overlapping, many_groups)
     return counts.join(candidates, [POPULATION, GROUP, *PAIR])

@@ -26,8 +26,8 @@ def prior_closure(edges: DataFrame) -> DataFrame:
     Path lengths double each round, so a graph of n nodes needs log2(n) rounds; cycles end it
     like anything else, once a round finds no new pair.
     """
-    reach = materialize(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
-    known = reach.count()
+    reach = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
+    known = -1
     while True:
         longer = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src"))
         new = longer.select("a.src", "b.dst").where(F.col("src") != F.col("dst"))

@@ -15,7 +15,8 @@ from contrastmill.runtime import materialize
 # The characters stripped from words.
 PUNCTUATION = ",.;:?![]{}/\\"
 
-_BLANK = "[ \\t\\n\\u000B\\f\\r]"
+_BLANKS = " \t\n\x0b\f\r"
+_BLANK = f"[{_BLANKS}]"
 
 
 def filter_comments(df: DataFrame, comment: str, locale: str | None = None, language: str = "en") -> DataFrame:
@@ -26,9 +27,8 @@ def filter_comments(df: DataFrame, comment: str, locale: str | None = None, lang
 
 def tokenize(text: Column) -> Column:
     """Lower-case and split at every blank; trailing blanks make no tokens."""
-    lower = F.lower(text)
-    body = F.regexp_replace(lower, _BLANK + "+$", "")
-    return F.when((body == "") & (lower != ""), F.array().cast("array<string>")).otherwise(F.split(body, _BLANK))
+    body = F.rtrim(F.lower(text), F.lit(_BLANKS))
+    return F.when((body == "") & (text != ""), F.array().cast("array<string>")).otherwise(F.split(body, _BLANK))
 
 
 def distinct_words_per_comment(comments: DataFrame, comment: str) -> DataFrame:

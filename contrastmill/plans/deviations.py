@@ -44,11 +44,18 @@ class Deviations:
 
 
 def surviving_items(
-    tagged: DataFrame, layout: Layout, totals: DataFrame, settings: Settings, overlapping: bool, only_true: Sequence[str] = ()
+    tagged: DataFrame,
+    layout: Layout,
+    totals: DataFrame,
+    settings: Settings,
+    overlapping: bool,
+    only_true: Sequence[str] = (),
+    many_groups: bool = False,
 ) -> DataFrame:
     """Level 1: count, discover and prune in one scan of the records."""
     s = settings.min_support_diff
-    counted = items.min_count_filter(items.item_counts(tagged, layout, overlapping), settings.min_count)
+    counts = items.item_counts(tagged, layout, overlapping, many_groups)
+    counted = items.min_count_filter(counts, settings.min_count)
     found = items.grouped_support(counted, totals)
     kept = discovery.keep_discovered(pruning.prune_support(found, s, settings.min_count), layout, s)
     # The rules below all look at the survivors of the support test, so they only mark rows
@@ -64,12 +71,17 @@ def surviving_items(
 
 
 def surviving_pairs(
-    tagged: DataFrame, layout: Layout, level1: DataFrame, settings: Settings, overlapping: bool
+    tagged: DataFrame,
+    layout: Layout,
+    level1: DataFrame,
+    settings: Settings,
+    overlapping: bool,
+    many_groups: bool = False,
 ) -> DataFrame:
     """Level 2: pair up, count and prune in one more scan, over the columns with survivors."""
     s = settings.min_support_diff
     candidates = materialize(pairs.pair_candidates(level1, layout.restricted))
-    counted = pairs.pair_counts(tagged, layout, level1, candidates, overlapping, settings.limits)
+    counted = pairs.pair_counts(tagged, layout, level1, candidates, overlapping, settings.limits, many_groups)
     kept = pruning.prune_support(pruning.with_parent_supports(counted), s, settings.min_count)
     return pruning.prune_insignificant(pruning.prune_no_change(kept, s))
 
@@ -112,13 +124,20 @@ def _member(prefix: str) -> Column:
 
 
 def mine(
-    tagged: DataFrame, layout: Layout, features: FeatureSet, settings: Settings, overlapping: bool
+    tagged: DataFrame,
+    layout: Layout,
+    features: FeatureSet,
+    settings: Settings,
+    overlapping: bool,
+    many_groups: bool = False,
 ) -> Deviations:
     """Run the job on a tagged feature table."""
     totals = materialize(grouping.group_totals(tagged, overlapping))
     large, small = grouping.min_group_filter(totals, settings.min_count)
-    level1 = materialize(surviving_items(tagged, layout, large, settings, overlapping, features.only_true))
-    level2 = materialize(surviving_pairs(tagged, layout, level1, settings, overlapping))
+    level1 = materialize(
+        surviving_items(tagged, layout, large, settings, overlapping, features.only_true, many_groups)
+    )
+    level2 = materialize(surviving_pairs(tagged, layout, level1, settings, overlapping, many_groups))
     closure = priors.prior_closure(priors.prior_edges(tagged.sparkSession, features.edges))
     return Deviations(accept(level1, level2, closure, settings), large, small, features)
 
@@ -151,4 +170,5 @@ def find_deviations(
     else:
         tagged, overlapping = grouping.compare_populations(reference, others), True
     prepared, families = derive_features(tagged, features)
-    return mine(prepared, Layout.of(prepared, families), features, settings, overlapping)
+    many = group_column is not None and names is None
+    return mine(prepared, Layout.of(prepared, families), features, settings, overlapping, many)

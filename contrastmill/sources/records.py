@@ -60,6 +60,17 @@ def read_records(spark: SparkSession, source: str | DataFrame, fmt: str = "parqu
     return df
 
 
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Spread a table read from few or unsplittable files over all cores.
+
+    Give it the table as read, before any join or grouping: then the number of splits is known
+    from planning alone. A table with at least as many splits as cores stays as it is, so that
+    large inputs are never shuffled for this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def load_population(
     spark: SparkSession,
     source: str | DataFrame,
