@@ -57,10 +57,9 @@ def addon_family(column: str = "addons", name: str = "addon", known: Iterable[st
         return F.struct(name.alias("name"), i.alias("position"), value.alias("value"))
 
     def first_of_each(listed: Column) -> Column:
-        before = F.slice(listed, F.lit(1), F.greatest(F.size(listed) - 1, F.lit(0)))
         first = F.zip_with(
             listed,
-            F.concat(F.array(F.lit(None)), before),
+            F.slice(F.concat(F.array(F.lit(None)), listed), F.lit(1), F.size(listed)),
             lambda e, p: F.when(
                 p.isNull() | (p["name"] != e["name"]), F.struct(e["name"].alias("name"), e["value"].alias("value"))
             ),

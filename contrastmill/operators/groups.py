@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contrastmill.runtime import materialize
+
 POPULATION = "population"
 GROUP = "g"
 
@@ -77,7 +79,8 @@ def with_reference_count(
     The reference count is the sum over all groups, or with overlapping groups the count of the
     reference rows themselves. With few groups a key has few rows and a window adds its sum in
     one shuffle. With ``many_groups`` a key may have a row for each of millions of them, so the
-    sum is a partial aggregate joined back, which splits such keys.
+    sum is a partial aggregate joined back, which splits such keys; the counts are written
+    first, as both sides would otherwise scan the records.
     """
     own = F.col("count_group")
     counted = F.when(F.col(GROUP).isNull(), own) if overlapping else own
@@ -85,6 +88,7 @@ def with_reference_count(
         total = F.sum(counted).over(Window.partitionBy(*keys))
         with_total = counts.withColumn("count_reference", F.coalesce(total, F.lit(0)))
         return with_total.where(F.col(GROUP).isNotNull())
+    counts = materialize(counts)
     sums = counts.groupBy(*keys).agg(F.coalesce(F.sum(counted), F.lit(0)).alias("count_reference"))
     sums = sums.select("count_reference", *[F.col(k).alias(f"__{k}") for k in keys])
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]

@@ -61,6 +61,7 @@ def batch_by_channel(
     if product is not None:
         records = records.where(grouping.col(product_column) == product)
         records = source.prune_platform_columns(records, product, mobile_products)
+    channels = materialize(channels.select(POPULATION, "version").distinct())
     records = source.assign_channels(records, channels, version_column)
     window = source.filter_date_window(records, date_column, as_of, days)
     # The search for the most frequent groups looks back one day less than the job itself.
