@@ -126,12 +126,10 @@ def job(
     def still(m):
         return f"(abs({m}_cr / tr - cr / tr) < {t} AND abs({m}_cg / tg - cg / tg) < {t})"
 
-    fields = ("key", "value", "vtype", "family")
+    fields = ("key", "value", "vtype", "family", "name")
     columns = ", ".join(f"a.{f} AS lo_{f}, b.{f} AS hi_{f}" for f in fields)
-    plain = ", ".join(f"{m}_{f}" for m in ("lo", "hi") for f in fields)
     figures = "CAST(cg AS DOUBLE) / tg AS sg, CAST(cr AS DOUBLE) / tr AS sr"
     rule_chi = chi2("cg", "cr", "tg - cg", "tr - cr")
-    node = "CASE WHEN {0}.family = '' THEN {0}.key ELSE '@' || {0}.family END"
     return f"""
 members AS ({members}),
 items AS ({items}),
@@ -256,12 +254,14 @@ rules AS (
          b.cg AS prior_count_group, b.cr AS prior_count_reference, b.prior_cg AS prior_total_group,
          CAST(b.prior_cr AS BIGINT) AS prior_total_reference,
          s.key AS k1, s.value AS v1, s.vtype AS t1, CAST(NULL AS VARCHAR) AS k2, CAST(NULL AS VARCHAR) AS v2,
-         CAST(NULL AS VARCHAR) AS t2
+         CAST(NULL AS VARCHAR) AS t2, s.family AS f1, s.name AS m1, CAST(NULL AS VARCHAR) AS f2,
+         CAST(NULL AS VARCHAR) AS m2
   FROM singles s LEFT JOIN best b ON b.g = s.g AND b.other_id = s.id
   WHERE NOT EXISTS (SELECT 1 FROM gone x WHERE x.g = s.g AND x.id = s.id)
   UNION ALL
   SELECT g, 2, {pair_of()}, NULL, NULL, NULL, NULL, NULL, cg, cr, tg, tr, chi, phi, NULL, NULL, NULL, NULL, NULL,
-         NULL, NULL, NULL, lo_key, lo_value, lo_vtype, hi_key, hi_value, hi_vtype
+         NULL, NULL, NULL, lo_key, lo_value, lo_vtype, hi_key, hi_value, hi_vtype, lo_family, lo_name,
+         hi_family, hi_name
   FROM pair_rules
 )"""
 
@@ -600,13 +600,9 @@ SQL["addon_related_groups"] = f"""{word_job()} SELECT g, tg AS total_group, {DIS
   {COUNTS} FROM ({RELATED})"""
 SQL["write_related_groups"] = f"{word_job()} SELECT g, tg AS total, count(*) AS rules FROM ({RELATED}) GROUP BY g, tg"
 SQL["label_items"] = f"""{word_job()}, shown AS (
-  SELECT g, k1 AS key, v1 AS value, t1 AS vtype FROM rules UNION SELECT g, k2, v2, t2 FROM rules WHERE n = 2)
-SELECT DISTINCT s.g, {DISPLAY} AS label, s.value FROM shown s JOIN level1 l
-  ON l.g = s.g AND l.key = s.key AND l.value IS NOT DISTINCT FROM s.value
-WHERE (l.family <> 'text' AND l.family <> 'module' AND l.family <> 'addon') OR EXISTS (
-  SELECT 1 FROM singles x WHERE x.g = l.g AND x.id = l.id AND NOT EXISTS (
-    SELECT 1 FROM gone y WHERE y.g = x.g AND y.id = x.id))
-  OR EXISTS (SELECT 1 FROM pair_rules p WHERE p.g = l.g AND (p.lo = l.id OR p.hi = l.id))"""
+  SELECT g, k1 AS key, v1 AS value, f1 AS family, m1 AS name FROM rules
+  UNION SELECT g, k2, v2, f2, m2 FROM rules WHERE n = 2)
+SELECT DISTINCT g, {DISPLAY} AS label, value FROM shown"""
 
 
 def shown(k: str, v: str, t: str) -> str:
