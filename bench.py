@@ -20,8 +20,8 @@ from contrastmill.sources.records import spread_scan  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINES = (
-    "item_counts", "pair_counts", "find_deviations_default", "find_deviations_families",
-    "find_deviations_predicates", "batch_by_channel_rules", "module_counts", "top_words",
+    "item_counts", "pair_counts", "find_deviations", "find_deviations_families",
+    "find_deviations_predicates", "batch_by_channel", "module_counts", "top_words",
     "top_words_stemmed", "deviation_report",
 )
 

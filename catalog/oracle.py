@@ -554,7 +554,7 @@ SQL["best_prior"] = docs_query(f"""SELECT g, {label("other_")} AS item, {label("
 
 # -- the whole job and its reports ---------------------------------------------------------------
 
-SQL["find_deviations_default"] = docs_query(RULES, 0.15)
+SQL["find_deviations"] = docs_query(RULES, 0.15)
 SQL["find_deviations_low"] = docs_query(RULES)
 
 _GROUPS = """SELECT 'long or toxic' AS g, rid FROM docs WHERE long OR toxic = 1
@@ -698,6 +698,6 @@ SELECT '{channel}|' || g AS g, item1, item2, cg AS count_group, cr AS count_refe
   CAST(tr AS BIGINT) AS total_reference, round(chi, 6) AS chi2, round(phi, 6) AS phi FROM rules)"""
 
 
-SQL["batch_by_channel_rules"] = " UNION ALL ".join(
+SQL["batch_by_channel"] = " UNION ALL ".join(
     f"SELECT * FROM {channel_job(c)}" for c in ("week-v0", "week-v1", "week-v2", "week-v3", "late")
 )

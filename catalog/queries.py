@@ -31,7 +31,8 @@ WORDS = 0.4
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    """Register under the name of the function; a trailing underscore avoids an imported name."""
+    QUERIES[f.__name__.rstrip("_")] = f
     return f
 
 
@@ -698,7 +699,7 @@ def rules_out(found: DataFrame) -> DataFrame:
 
 
 @query
-def find_deviations_default(spark, sf):
+def find_deviations_(spark, sf):
     found = find_deviations(roles.docs(spark, sf), group_column="lang", features=FeatureSet(edges=roles.DOC_EDGES))
     return rules_out(found.rules)
 
@@ -780,7 +781,7 @@ def addon_related_groups(spark, sf):
 
 
 @query
-def batch_by_channel_rules(spark, sf):
+def batch_by_channel_(spark, sf):
     """All channels in one job: the rules of every channel and group."""
     features = FeatureSet(drop=("event_id", "product", "version", "crash_date"))
     batch = batch_by_channel(

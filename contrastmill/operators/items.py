@@ -82,7 +82,7 @@ class Layout:
     def restricted(self) -> dict[int, tuple[str, ...]]:
         """Slots whose items pair with few keys only, with those keys."""
         partners = {f.name: f.partners for f in self.families if f.partners is not None}
-        return {s.kid: partners[s.family] for s in self.slots if s.kind == "members" and s.family in partners}
+        return {s.kid: partners[s.family] for s in self.slots if s.family in partners}
 
 
 def _item(kid: int, name: Column, value: Column) -> Column:

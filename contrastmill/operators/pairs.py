@@ -133,7 +133,10 @@ def expand_pairs(rows: DataFrame, layout: Layout) -> DataFrame:
                 )
             )
     partners = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return first.select(POPULATION, GROUP, "lo", F.explode(partners).alias("hi"))
+    pairs = first.select(POPULATION, GROUP, "lo", F.explode(partners).alias("hi"))
+    if not restricted:
+        return pairs
+    return pairs.select(POPULATION, GROUP, F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
 
 
 def _pairs_by_join(tagged: DataFrame, layout: Layout, dictionary: DataFrame, hint: bool) -> DataFrame:

@@ -138,7 +138,8 @@ def mine(
         surviving_items(tagged, layout, large, settings, overlapping, features.only_true, many_groups)
     )
     level2 = materialize(surviving_pairs(tagged, layout, level1, settings, overlapping, many_groups))
-    closure = priors.prior_closure(priors.prior_edges(tagged.sparkSession, features.edges))
+    edges = priors.prior_edges(tagged.sparkSession, features.edges)
+    closure = priors.prior_closure(edges) if features.edges else edges
     return Deviations(accept(level1, level2, closure, settings), large, small, features)
 
 

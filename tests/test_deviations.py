@@ -156,6 +156,26 @@ def test_lower_threshold_and_known_addons(crashes):
     same(collected(found.rules), want)
 
 
+def test_constant_column_adds_no_rule(crashes):
+    _, df = crashes
+    few = df.select("signature", "platform", "flag", "startup_crash")
+    names = ["A", "B.c", "C"]
+    plain = collected(find_deviations(few, group_column="signature", names=names).rules)
+    more = collected(find_deviations(few.withColumn("same", F.lit("x")), group_column="signature", names=names).rules)
+    assert plain and {(g, k) for g in more for k in more[g]} <= {(g, k) for g in plain for k in plain[g]}
+
+
+def test_all_values_as_groups(crashes):
+    rows, df = crashes
+    few = df.select("signature", "platform", "flag", "startup_crash")
+    found = find_deviations(few, group_column="signature")
+    brute_rows = [
+        ((r[1],) if r[1] else (), 1, {("platform", r[3], "str", None), ("flag", r[14], vt(r[14]), None), ("startup_crash", tx(r[9]), vt(r[9]), None)})
+        for r in rows
+    ]
+    same(collected(found.rules), deviations(brute_rows))
+
+
 def test_overlapping_predicate_groups(crashes):
     rows, df = crashes
     tests = {"a or b": F.col("signature").isin("A", "B.c"), "b": F.col("signature").startswith("B"), "none": F.lit(False)}
