@@ -1,5 +1,7 @@
 """The same questions as SQL for DuckDB, where SQL can express them."""
 
+from contrastmill.llm.license_scan import TEMPLATES, THRESHOLD
+
 SQL: dict[str, str] = {}
 
 SQL["op3_mixing"] = r"""
@@ -66,3 +68,65 @@ SQL["op4_top_k_search"] = _SEARCH.format(
 SQL["op9_nearest_neighbours"] = _SEARCH.format(
     vector="embedding::DOUBLE[]", more=" AND len(list_filter(embedding, lambda x: x <> 0)) > 0", cast="", every=20, k=20
 )
+
+
+def _license_sql() -> str:
+    quoted = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(TEMPLATES.items()))
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    words = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+    return f"""
+WITH templates AS (
+  SELECT license, {pairs} AS b FROM (SELECT license, {words.format("body")} AS w FROM (VALUES {quoted}) t(license, body))
+), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number FROM documents
+), split AS (
+  SELECT doc_id, text, string_split_regex(text, '\\n[ \\t\\r]*\\n\\s*') AS ps FROM documents
+), units AS (
+  SELECT doc_id, 'line' AS unit, number, part FROM lines
+  UNION ALL
+  SELECT doc_id, 'paragraph', number, part
+  FROM (SELECT doc_id, unnest(ps) AS part, generate_subscripts(ps, 1) - 1 AS number FROM split) WHERE contains(part, chr(10))
+  UNION ALL
+  SELECT doc_id, 'document', 0, text FROM split WHERE len(ps) > 1
+), sets AS (
+  SELECT doc_id, unit, number, {pairs} AS b FROM (SELECT doc_id, unit, number, {words.format("part")} AS w FROM units)
+), scored AS (
+  SELECT s.doc_id, s.unit, s.number, t.license, 2.0::DOUBLE * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b)) AS dice, len(s.b) AS n_bigrams
+  FROM sets s JOIN templates t ON 2 * least(len(s.b), len(t.b)) >= {THRESHOLD} * (len(s.b) + len(t.b)) AND len(s.b) > 0
+)
+SELECT doc_id, unit, number::BIGINT AS number, license, dice, n_bigrams::INTEGER AS n_bigrams
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, number ORDER BY dice DESC, license) AS place FROM scored)
+WHERE place = 1 AND dice >= {THRESHOLD}
+"""
+
+
+SQL["op10_license_scan"] = _license_sql()
+
+SQL["op6_ngram_jaccard"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN ['short ' || array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words
+), rows AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets
+), shared AS (
+  SELECT token FROM rows GROUP BY token HAVING count(*) > 1
+), common_tokens AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS common
+  FROM rows a JOIN shared USING (token) JOIN rows b USING (token)
+  WHERE a.doc_id <> b.doc_id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  GROUP BY ALL
+), links AS (
+  SELECT u, v FROM common_tokens WHERE 100 * common >= 80 * (m + n - common)
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION
+  SELECT r.doc_id, l.v FROM reached r JOIN links l ON r.other = l.u
+), smallest AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN smallest USING (doc_id)
+"""

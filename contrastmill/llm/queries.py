@@ -6,11 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contrastmill.llm.license_scan import license_matches
 from contrastmill.llm.main_text import main_texts
 from contrastmill.llm.mixing import mix
 from contrastmill.llm.nearest_neighbours import nearest_neighbours
+from contrastmill.llm.ngram_jaccard import jaccard_components
+from contrastmill.llm.quality import quality_scores
 from contrastmill.llm.token_counts import token_counts
 from contrastmill.llm.top_k_search import top_k_search
+from contrastmill.llm.toxicity import toxicity_scores
 
 MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -24,6 +28,10 @@ def op1_main_text(spark, sf_dir):
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op2_quality(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -33,6 +41,14 @@ def op4_top_k_search(spark, sf_dir):
     return top_k_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_ngram_jaccard(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark, sf_dir):
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -42,7 +58,14 @@ def op9_nearest_neighbours(spark, sf_dir):
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op10_license_scan(spark, sf_dir):
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_main_text, op3_mixing, op4_top_k_search, op7_token_counts, op9_nearest_neighbours)
-}
+    for f in (
+        op1_main_text, op2_quality, op3_mixing, op4_top_k_search, op5_toxicity, op6_ngram_jaccard, op7_token_counts,
+        op9_nearest_neighbours, op10_license_scan,
+    )
+}
