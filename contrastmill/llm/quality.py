@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrastmill.llm.arrow_text import LOWER, SPACES, Runs, row_sums, slices, utf8
-from contrastmill.llm.labelled import held_out, training_labels, training_rows
+from contrastmill.llm.labelled import TRAINING, held_out, scored_schema, training_labels, training_rows, with_features, with_score
 from contrastmill.runtime import materialize
 
 BUCKETS = 1 << 14
@@ -105,23 +105,28 @@ def pooled(data: np.ndarray, at: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.column_stack(parts).astype(np.float32)
 
 
-def _features(vectors: np.ndarray):
+def feature_rows(column, both: np.ndarray) -> np.ndarray:
+    data, at = utf8(column)
+    found = [np.zeros((0, 2 * DIM + 3 + LAGS), np.float32)]
+    for first, last in slices(at):
+        found.append(pooled(data[at[first] : at[last]], at[first : last + 1] - at[first], both))
+    return np.concatenate(found).astype(np.float64)
+
+
+def with_index_vectors(vectors: np.ndarray) -> np.ndarray:
+    where, sign = index_vectors()
+    index = np.zeros((BUCKETS, DIM), np.float32)
+    for h in (0, 1):
+        index[np.arange(BUCKETS), where[h]] = sign[h]
+    return np.concatenate([vectors, index], axis=1)
+
+
+def _training_features(vectors: np.ndarray):
     def run(batches):
-        where, sign = index_vectors()
-        index = np.zeros((BUCKETS, DIM), np.float32)
-        for h in (0, 1):
-            index[np.arange(BUCKETS), where[h]] = sign[h]
-        both = np.concatenate([vectors, index], axis=1)
+        both = with_index_vectors(vectors)
         for batch in batches:
-            data, at = utf8(batch.column("text"))
-            found = [np.zeros((0, 2 * DIM + 3 + LAGS), np.float32)]
-            for first, last in slices(at):
-                found.append(pooled(data[at[first] : at[last]], at[first : last + 1] - at[first], both))
-            x = np.concatenate(found)
-            offsets = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, x.ravel())], ["doc_id", "features"]
-            )
+            x = feature_rows(batch.column("text"), both)
+            yield with_features(batch, x)
 
     return run
 
@@ -191,30 +196,30 @@ def fit(x: np.ndarray, y: np.ndarray, part: np.ndarray):
     return model
 
 
-def _score(model):
+def _score(model, vectors: np.ndarray):
     def run(batches):
+        both = with_index_vectors(vectors)
         for batch in batches:
-            x = batch.column("features")
-            x = x.flatten().to_numpy().reshape(len(x), -1).astype(np.float64) if len(x) else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(model.scores(x) if len(x) else [], pa.float64())],
-                ["doc_id", "held_out", "score"],
-            )
+            yield with_score(batch, model.scores(feature_rows(batch.column("text"), both)))
 
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row of ``docs`` (``doc_id``, ``text``).
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` (``doc_id``, ``text``) with the score as ``name``, which must be a new one.
 
     ``labels`` (``doc_id``, ``quality``) of held-out documents are not read.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = materialize(training_labels(labels, "quality", sample))
     vectors = word_vectors(docs)
-    features = materialize(docs.select("doc_id", "text").mapInArrow(_features(vectors), f"doc_id {kind}, features array<float>"))
-    model = fit(*training_rows(features.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "part", "features"), sample))
-    scored = features.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(
-        _score(model), f"doc_id {kind}, held_out boolean, score double"
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_training_features(vectors), TRAINING)
+    model = fit(*training_rows(rows, sample))
+    return docs.mapInArrow(_score(model, vectors), scored_schema(docs, name))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row of ``docs``."""
+    scored = score_quality(docs.select("doc_id", "text"), labels, sample)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

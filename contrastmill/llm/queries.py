@@ -12,6 +12,7 @@ from contrastmill.llm.mixing import mix
 from contrastmill.llm.nearest_neighbours import nearest_neighbours
 from contrastmill.llm.ngram_jaccard import jaccard_components
 from contrastmill.llm.quality import quality_scores
+from contrastmill.llm.sentencepiece_scan import decode, encode
 from contrastmill.llm.token_counts import token_counts
 from contrastmill.llm.top_k_search import top_k_search
 from contrastmill.llm.toxicity import toxicity_scores
@@ -54,6 +55,12 @@ def op7_token_counts(spark, sf_dir):
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_sentencepiece(spark, sf_dir):
+    path = public_tokenizers.path(MODEL)
+    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", "ids", F.size("ids").alias("n_pieces"), "score", F.md5("text").alias("decoded_md5"))
+
+
 def op9_nearest_neighbours(spark, sf_dir):
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -66,6 +73,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_main_text, op2_quality, op3_mixing, op4_top_k_search, op5_toxicity, op6_ngram_jaccard, op7_token_counts,
-        op9_nearest_neighbours, op10_license_scan,
+        op8_sentencepiece, op9_nearest_neighbours, op10_license_scan,
     )
 }

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrastmill.llm.arrow_text import LOWER, Runs, hash_words, row_sums, slices, utf8
-from contrastmill.llm.labelled import held_out, training_labels, training_rows
+from contrastmill.llm.labelled import TRAINING, held_out, scored_schema, training_labels, training_rows, with_features, with_score
 from contrastmill.runtime import materialize
 
 SAMPLE = 30_000
@@ -139,7 +139,7 @@ def _distinct_words(batches):
 
 def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     half = F.when(F.col("part") % 2 == 0, 0).otherwise(1).alias("half")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", "part", half)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "code", "label", "part", half)
 
 
 def learned_lexicons(docs: DataFrame, chosen: DataFrame, most: int = LEXICON_SIZE) -> list[np.ndarray]:
@@ -189,11 +189,7 @@ def _training_features(given, learned, second):
             for h in (0, 1):
                 own = half == h
                 x[own] = feature_rows(batch.column("text").filter(pa.array(own)), given, learned[1 - h], second)
-            offsets = np.arange(0, x.size + 1, WIDTH, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), batch.column("part"),
-                 pa.ListArray.from_arrays(offsets, x.astype(np.float32).ravel())], ["doc_id", "label", "part", "features"]
-            )
+            yield with_features(batch, x)
 
     return run
 
@@ -286,31 +282,29 @@ def fit(x: np.ndarray, y: np.ndarray, part: np.ndarray):
 def _score(model, given, learned, second):
     def run(batches):
         for batch in batches:
-            x = feature_rows(batch.column("text"), given, learned, second)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(model.scores(x), pa.float64())],
-                ["doc_id", "held_out", "score"],
-            )
+            yield with_score(batch, model.scores(feature_rows(batch.column("text"), given, learned, second)))
 
     return run
 
 
-def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, insults: tuple[str, ...] = INSULTS
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, name: str = "score", insults: tuple[str, ...] = INSULTS
 ) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row of ``docs`` (``doc_id``, ``text``).
+    """All columns of ``docs`` (``doc_id``, ``text``) with the score as ``name``, which must be a new one.
 
     ``labels`` (``doc_id``, ``toxic``) of held-out documents are not read.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = materialize(training_labels(labels, "toxic", sample))
     given, second = np.sort(hash_words(list(insults))), np.sort(hash_words(list(SECOND_PERSON)))
     *halves, learned = learned_lexicons(docs, chosen)
-    rows = labelled_texts(docs, chosen).mapInArrow(
-        _training_features(given, halves, second), f"doc_id {kind}, label int, part int, features array<float>"
-    )
+    rows = labelled_texts(docs, chosen).mapInArrow(_training_features(given, halves, second), TRAINING)
     model = fit(*training_rows(rows, sample))
-    scored = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(
-        _score(model, given, learned, second), f"doc_id {kind}, held_out boolean, score double"
+    return docs.mapInArrow(_score(model, given, learned, second), scored_schema(docs, name))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row of ``docs``."""
+    scored = score_toxicity(docs.select("doc_id", "text"), labels, sample)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
