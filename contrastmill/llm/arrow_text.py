@@ -8,7 +8,7 @@ import pyarrow as pa
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -105,7 +105,9 @@ def _frequent(n: int):
             found = [np.zeros(0, np.uint64)]
             for first, last in slices(at):
                 found.append(token_sets(data[at[first] : at[last]], at[first : last + 1] - at[first], n)[0])
-            tokens = np.sort(np.concatenate(found))
+            tokens = np.concatenate(found)
+            del found
+            tokens.sort()
             # a token that is there often enough equals the one so many places later
             k = FREQUENT_IN_BATCH - 1
             often = np.unique(tokens[k:][tokens[k:] == tokens[:-k]]) if len(tokens) > k else tokens[:0]
