@@ -13,11 +13,11 @@ Two nodes link when ``9 * |A and B| >= 4 * (|A| + |B|)``, the same as a Jaccard
    most about ``GROUP``. The matrix has, for a token and a group, whether a member could link by
    it, and the range of sizes and components. A node queries the groups with its prefix; groups all
    of the node's own component are left out, so what is connected is not compared again.
-4. Where the bound leaves a group, it is opened in a task: the union of the members' tokens bounds
+4. Where the bound leaves a group, it is opened in a task, with others of the same first token: the union of the members' tokens bounds
    the overlap of the query with each of them, and only a query that reaches the least overlap
    needed meets the members. One link per query and component met is kept.
 
-Queries of a group are dealt to chunks, so no task holds more than a group and a chunk. Null and
+Queries of a bundle of groups are dealt to chunks, so no task holds more than a bundle and a chunk. Null and
 empty texts have no shingles and link with nothing; with fewer words than ``n`` the whole sequence
 is the only shingle. Repeated rows share their node and keep their result rows. A row without
 ``doc_id`` is in its own component, which has no id unless it is linked. Other columns do not matter.
@@ -39,6 +39,7 @@ SHINGLE = 5
 FREQUENT_IN_BATCH = 16
 FREQUENT_TOKENS = 1 << 18
 GROUP = 64
+BUNDLE = 256
 SIZE_STEP = 1.05
 FILTER_BITS = 1 << 23
 CHUNK = 512
@@ -204,15 +205,18 @@ def _verify(batches):
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _open(key, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    sets = [np.frombuffer(t, np.uint64) for t in members["m_tokens"]]
+def _open(frame: pd.DataFrame) -> pd.DataFrame:
+    queries, members = frame[frame["asks"]], frame[~frame["asks"]]
+    sets = [np.frombuffer(t, np.uint64) for t in members["tokens"]]
     sizes = np.array([len(s) for s in sets], np.int64)
     tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     of = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(tokens, kind="stable")
     tokens, of = tokens[order], of[order]
-    node, component = members["m_node"].to_numpy(), members["m_component"].to_numpy()
+    node, component = members["node"].to_numpy(), members["component"].to_numpy()
     u, v = [], []
+    if not sets:
+        queries = queries[:0]
     for q, c, raw in zip(queries["node"], queries["component"], queries["tokens"]):
         own = np.frombuffer(raw, np.uint64)
         least = max(int(sizes.min()), -(-4 * len(own) // 5))
@@ -272,14 +276,16 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     label = F.coalesce("label", "node").alias("component")
     place = candidates.withColumn("scale", F.floor(F.log("n") / float(np.log(SIZE_STEP))))
     many = place.groupBy("first", "scale").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("blocks"))
-    group = F.xxhash64("first", "scale", F.pmod(F.xxhash64("node"), "blocks"))
-    member = materialize(
-        place.join(many, ["first", "scale"]).join(first_labels, "node", "left").select("node", group.alias("group"), label, "shared")
-    )
+    group = F.xxhash64("first", "scale", F.pmod(F.xxhash64("node"), "blocks")).alias("group")
+    # groups with the same first token that are opened together
+    bundles = place.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / BUNDLE).alias("bundles"))
+    placed = place.join(many, ["first", "scale"]).join(bundles, "first").select("node", "first", "shared", "bundles", group)
+    bundle = F.xxhash64("first", F.pmod("group", "bundles")).alias("bundle")
+    member = materialize(placed.join(first_labels, "node", "left").select("node", "group", bundle, label, "shared"))
     known = posts.select("token", "node", "n", "place").join(member, "node")
     matrix = known.where("9 * place <= n").groupBy("token", "group").agg(
         F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"),
-        F.max(F.expr("5 * n - 9 * place")).alias("reach"), F.max("shared").alias("shared1"),
+        F.max(F.expr("5 * n - 9 * place")).alias("reach"), F.max("shared").alias("shared1"), F.any_value("bundle").alias("to"),
     )
     queries = known.select("token", "node", "component", "n", "place", "shared")
     # of two linked nodes the smaller has at least size m, and so many tokens of both prefixes are common
@@ -289,17 +295,18 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
         f"n0 <= n and 5 * n1 >= 4 * n and reach >= 4 * n and 5 * n - 9 * place >= 4 * {smaller} "
         f"and least(shared, shared1) >= {needed} and (c0 <> c1 or c0 <> component)"
     )
-    asked = materialize(met.select("node", "component", "group").distinct())
-    asked_members = member.join(asked.select("group").distinct(), "group", "left_semi")
-    tokens = _sets_of(docs, asked.select("node").union(asked_members.select("node")).distinct(), ids, n)
+    asked = materialize(met.select("node", "component", "group", F.col("to").alias("bundle")).distinct())
+    members = materialize(member.join(asked.select("group").distinct(), "group", "left_semi").select("node", "component", "bundle"))
+    asked = materialize(asked.select("node", "component", "bundle").distinct())
+    tokens = _sets_of(docs, asked.select("node").union(members.select("node")).distinct(), ids, n)
 
     # 4: open what is left
-    width = materialize(asked.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
-    left = asked.join(width, "group").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int")).join(tokens, "node")
-    right = member.join(width, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(tokens, "node")
-    columns = ["group", "chunk", "node", "component", "tokens"]
-    left, right = left.select(columns), right.select([F.col(c).alias(f"m_{c}") for c in columns])
-    found = left.groupBy("group", "chunk").cogroup(right.groupBy("m_group", "m_chunk")).applyInPandas(_open, "u long, v long")
+    width = materialize(asked.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
+    chunk = F.pmod(F.xxhash64("node"), "chunks").cast("int")
+    roles = asked.join(width, "bundle").select("node", "component", "bundle", chunk.alias("chunk"), F.lit(True).alias("asks"))
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    roles = roles.unionByName(members.join(width, "bundle").select("node", "component", "bundle", every, F.lit(False).alias("asks")))
+    found = roles.join(tokens, "node").groupBy("bundle", "chunk").applyInPandas(_open, "u long, v long")
     labels = components(materialize(linked.unionByName(found)))
 
     # back to documents
