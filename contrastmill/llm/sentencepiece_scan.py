@@ -266,7 +266,7 @@ def _encode(path: str):
                 part, begin = data[at[first] : at[last]], at[first : last + 1] - at[first]
                 ids, offsets, scores = encode_rows(part, begin, pieces, known)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[first:last], pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids, pa.int32())), pa.array(scores)],
+                    [batch.column("doc_id")[first:last], pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids, pa.int32())), pa.array(scores, pa.float64())],
                     ["doc_id", "ids", "score"],
                 )
 
