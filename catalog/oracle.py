@@ -611,7 +611,7 @@ def shown(k: str, v: str, t: str) -> str:
 
 
 def percent(x: str) -> str:
-    text = f"printf('%.2f', round_even(({x}) * 100, 2))"
+    text = f"printf('%.2f', ({x}) * 100)"
     return f"CASE WHEN {text} = '100.00' THEN '100.0' ELSE lpad({text}, CAST(greatest(length({text}), 5) AS INTEGER), '0') END"
 
 
@@ -626,14 +626,14 @@ ORDERED = f"""ordered AS (
   WHERE n = 2 AND (CASE k1 {ORDER} END) > (CASE k2 {ORDER} END))"""
 SQL["deviation_report"] = f"""{doc_job()}, {ORDERED}, {TEXT}
 SELECT g, row_number() OVER (PARTITION BY g ORDER BY n,
-    CASE WHEN n = 1 THEN abs(cr / tr - cg / tg) ELSE round_even(abs(cr / tr - cg / tg), 2) END DESC, item_text) AS line_no,
+    CASE WHEN n = 1 THEN abs(cr / tr - cg / tg) ELSE printf('%.2f', abs(cr / tr - cg / tg))::DOUBLE END DESC, item_text) AS line_no,
   '(' || {percent("cg / tg")} || '% in ' || g || ' vs ' || {percent("cr / tr")} || '% overall) ' || item_text
   || CASE WHEN prior IS NULL THEN '' ELSE ' [' || {percent("prior_count_group / prior_total_group")} || '% vs '
   || {percent("prior_count_reference / prior_total_reference")} || '% given '
   || {shown("prior_key", "prior_value", "prior_vtype")} || ']' END AS line FROM shown"""
 SQL["support_chart_table"] = f"""{doc_job()}, {ORDERED}, {TEXT}
-SELECT g, row_number() OVER (PARTITION BY g ORDER BY n DESC, round_even(abs(cr / tr - cg / tg), 2),
-  round_even(cr / tr, 2), item_text) AS position, item_text AS label, round(cg / tg * 100, 6) AS percent_group,
+SELECT g, row_number() OVER (PARTITION BY g ORDER BY n DESC, printf('%.2f', abs(cr / tr - cg / tg))::DOUBLE,
+  printf('%.2f', cr / tr)::DOUBLE, item_text) AS position, item_text AS label, round(cg / tg * 100, 6) AS percent_group,
   round(cr / tr * 100, 6) AS percent_reference FROM shown"""
 
 # -- words -------------------------------------------------------------------------------------

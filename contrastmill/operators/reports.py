@@ -92,9 +92,28 @@ def item_text(items: Column) -> Column:
     return F.array_join(parts, " ∧ ")
 
 
+def hundredths(x: Column) -> Column:
+    """A number from 0 up in whole hundredths, by its exact binary value; exact ties go to the even one.
+
+    The fraction below 1 is a whole number of 2**-56, or of 2**-60 if it is below 1/16 and does not
+    round to nothing anyway, and a hundred times that fits in 64 bits.
+    """
+    whole = F.floor(x).cast("long")
+    fraction = x - whole
+
+    def cents(bits: int) -> Column:
+        scaled = F.floor(fraction * float(2**bits)).cast("long") * 100
+        down = F.shiftright(scaled, bits)
+        rest, half = scaled - F.shiftleft(down, bits), F.lit(2 ** (bits - 1))
+        return down + F.when((rest > half) | ((rest == half) & (down % 2 == 1)), 1).otherwise(0)
+
+    return whole * 100 + F.when(fraction < 1 / 256, 0).when(fraction < 1 / 16, cents(60)).otherwise(cents(56))
+
+
 def percentage(share: Column) -> Column:
     """Two decimals and at least two digits before them, ``100.0`` for the whole."""
-    text = F.format_string("%.2f", F.bround(share * 100, 2))
+    n = hundredths(share * 100)
+    text = F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
     return F.when(text == "100.00", "100.0").otherwise(F.lpad(text, F.greatest(F.length(text), F.lit(5)), "0"))
 
 
@@ -120,7 +139,7 @@ def deviation_report(rules: DataFrame, reference_name: str = "overall") -> DataF
         F.coalesce(F.when(F.col("prior").isNotNull(), given), F.lit("")),
     )
     rows = rules.select(
-        *RULE, items.alias("__n"), F.when(single, difference).otherwise(F.bround(difference, 2)).alias("__d"),
+        *RULE, items.alias("__n"), F.when(single, difference).otherwise(hundredths(difference).cast("double")).alias("__d"),
         item_text(F.col("items")).alias("__t"), line.alias("line"),
     )
     order = Window.partitionBy(*RULE).orderBy("__n", F.desc("__d"), "__t")
@@ -133,7 +152,7 @@ def support_chart_table(rules: DataFrame) -> DataFrame:
     rows = rules.select(
         *RULE, item_text(F.col("items")).alias("label"),
         (reference * 100).alias("percent_reference"), (group * 100).alias("percent_group"),
-        F.size("items").alias("__n"), F.bround(difference, 2).alias("__d"), F.bround(reference, 2).alias("__s"),
+        F.size("items").alias("__n"), hundredths(difference).alias("__d"), hundredths(reference).alias("__s"),
     )
     order = Window.partitionBy(*RULE).orderBy(F.desc("__n"), "__d", "__s", "label")
     return rows.withColumn("position", F.row_number().over(order)).drop("__n", "__d", "__s")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contrastmill.functions import scalars, stats
 from contrastmill.functions.stemming import stem
+from contrastmill.operators import reports
 
 
 def table(spark, rows, schema):
@@ -142,3 +143,14 @@ def test_stems(spark):
     df = table(spark, [(w, s) for w, s in STEMS.items()], "w string, want string")
     wrong = [(r.w, r.got, r.want) for r in df.withColumn("got", stem(F.col("w"))).where("got is not null").collect() if r.got != r.want]
     assert not wrong
+
+
+def test_percentages_round_by_the_exact_value(spark):
+    shares = [k / 4000 for k in range(4001)] + [k / 97 for k in range(98)] + [0.00005, 0.0000499999]
+    out = table(spark, [(v,) for v in shares], "x double").select(
+        "x", reports.percentage(F.col("x")).alias("text"), reports.hundredths(F.col("x")).alias("n")
+    )
+    for row in out.collect():
+        text = f"{row.x * 100:.2f}"
+        assert row.text == ("100.0" if text == "100.00" else text.rjust(5, "0"))
+        assert row.n == round(round(row.x, 2) * 100)
