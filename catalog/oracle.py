@@ -302,7 +302,7 @@ SQL["load_population"] = f"""WITH {EVENTS}
 SELECT event_id, CAST(crash_date AS VARCHAR) AS crash_date, version, signature FROM records
 WHERE product = 'desktop' AND version IN ('v1', 'v2', 'v3') AND crash_date >= DATE '{AS_OF}' - 14"""
 
-SQL["prune_platform_columns"] = "SELECT * EXCLUDE (o_orderdate) FROM orders"
+SQL["prune_platform_columns"] = "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) FROM orders"
 
 SQL["release_versions"] = """WITH history AS (
   SELECT p_brand AS product, CASE WHEN p_partkey % 2 = 0 THEN 'stability' ELSE 'development' END AS category,
@@ -378,11 +378,11 @@ SQL["build_date_cut"] = """SELECT l_orderkey, l_linenumber, l_partkey, strftime(
 SQL["filter_comments"] = """
 SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN lang || '-X' END AS useragent_locale FROM documents
 WHERE doc_id % 7 > 0 AND (doc_id % 5 = 0 OR lang LIKE 'en%')"""
-SQL["optional_projection"] = """SELECT * EXCLUDE (o_orderdate), o_totalprice > 250000 AS dear,
+SQL["optional_projection"] = """SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate), o_totalprice > 250000 AS dear,
   o_orderstatus || o_orderpriority AS both FROM orders"""
 SQL["drop_non_features"] = "SELECT * EXCLUDE (o_orderdate, o_custkey) FROM orders"
 SQL["rename_legacy_column"] = """
-SELECT * EXCLUDE (o_orderdate, o_orderstatus), o_orderstatus AS e10s_enabled FROM orders"""
+SELECT * EXCLUDE (o_orderstatus) REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate), o_orderstatus AS e10s_enabled FROM orders"""
 
 # -- scalar features ---------------------------------------------------------------------------
 
@@ -486,7 +486,7 @@ SQL["min_count_filter"] = docs_query(f"SELECT {ITEM} FROM counts WHERE cg >= 5 A
 SQL["zero_fill"] = docs_query(f"""SELECT x.g, {label("y.")} AS item, y.vtype,
   coalesce(c.cg, 0) AS count_group, y.cr AS count_reference
 FROM ref_counts y CROSS JOIN (VALUES ('en'), ('fr'), ('de'), ('es')) AS x(g)
-LEFT JOIN counts c ON c.g = x.g AND c.key = y.key AND c.value IS NOT DISTINCT FROM y.value AND c.cg >= 20""")
+LEFT JOIN counts c ON c.g = x.g AND c.key = y.key AND c.value IS NOT DISTINCT FROM y.value""")
 SQL["grouped_support"] = docs_query(
     f"SELECT {ITEM}, round(cg / tg, 6) AS support_group, round(cr / tr, 6) AS support_reference "
     "FROM counts JOIN totals USING (g)"
@@ -530,9 +530,9 @@ UNION ALL SELECT g, 2, n2, round(alpha2, 9), round(alpha1, 9) FROM sizes WHERE n
 
 SQL["prior_edges"] = docs_query(f"""SELECT src, dst FROM ({values((*DOC_EDGES, ("absent", "source"), ("size", "absent")))}) e
 WHERE src IN (SELECT key FROM items) AND dst IN (SELECT key FROM items)""")
-PART_EDGES = """SELECT p_brand AS src, p_type AS dst FROM part WHERE p_partkey % 3 = 0
-  UNION SELECT p_type, 'size ' || (p_size // 10) FROM part WHERE p_size > 40
-  UNION SELECT 'size ' || (p_size // 10), p_brand FROM part WHERE p_size > 48"""
+PART_EDGES = """SELECT p_brand AS src, p_type AS dst FROM part
+  UNION SELECT p_type, 'size ' || (p_size // 10) FROM part
+  UNION SELECT 'size ' || (p_size // 10), p_brand FROM part"""
 SQL["prior_closure"] = (
     f"WITH RECURSIVE edges AS ({PART_EDGES}), {closure('reach', 'SELECT src, dst FROM edges')} "
     "SELECT DISTINCT src, dst FROM reach WHERE src <> dst"

@@ -30,6 +30,11 @@ LOW = 0.05
 WORDS = 0.4
 
 
+def order_date() -> Column:
+    """As text, so that both engines print it alike."""
+    return F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+
+
 def query(f: Query) -> Query:
     """Register under the name of the function; a trailing underscore avoids an imported name."""
     QUERIES[f.__name__.rstrip("_")] = f
@@ -68,7 +73,7 @@ def prune_platform_columns(spark, sf):
     orders = table(spark, sf, "orders").withColumns(
         {"android_model": F.col("o_orderstatus"), "android_brand": F.col("o_orderpriority")}
     )
-    return records.prune_platform_columns(orders, "desktop", ["tablet"]).select("*").drop("o_orderdate")
+    return records.prune_platform_columns(orders, "desktop", ["tablet"]).withColumn("o_orderdate", order_date())
 
 
 @query
@@ -231,7 +236,7 @@ def optional_projection(spark, sf):
         FeatureSpec(("o_totalprice", "o_comment"), "absent", F.length("o_comment") > 5),
         FeatureSpec(("o_orderstatus", "o_orderpriority"), "both", F.concat("o_orderstatus", "o_orderpriority")),
     ]
-    return feature_ops.optional_projection(table(spark, sf, "orders").drop("o_orderdate"), specs)
+    return feature_ops.optional_projection(table(spark, sf, "orders").withColumn("o_orderdate", order_date()), specs)
 
 
 @query
@@ -241,7 +246,7 @@ def drop_non_features(spark, sf):
 
 @query
 def rename_legacy_column(spark, sf):
-    orders = table(spark, sf, "orders").drop("o_orderdate").withColumnRenamed("o_orderstatus", "dom_ipc_enabled")
+    orders = table(spark, sf, "orders").withColumn("o_orderdate", order_date()).withColumnRenamed("o_orderstatus", "dom_ipc_enabled")
     return feature_ops.rename_legacy_column(orders, "dom_ipc_enabled", "e10s_enabled")
 
 
@@ -482,7 +487,7 @@ def zero_fill(spark, sf):
     chain = Chain(spark, sf)
     counted = chain.counts
     reference = counted.groupBy("key", "value", "vtype").agg(F.max("count_reference").alias("count_reference"))
-    own = counted.where("count_group >= 20").select("key", "value", "vtype", "g", "count_group")
+    own = counted.where("count_group > 0").select("key", "value", "vtype", "g", "count_group")
     return items_out(items.zero_fill(reference, own, ["key", "value", "vtype"], ["en", "fr", "de", "es"]))
 
 
@@ -613,9 +618,9 @@ def _part_edges(spark, sf):
     """A graph with cycles over the attributes of parts: brand to type to size class to brand."""
     part = table(spark, sf, "part")
     size = F.concat(F.lit("size "), F.floor(F.col("p_size") / 10).cast("string"))
-    one = part.where("p_partkey % 3 = 0").select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"))
-    two = part.where("p_size > 40").select(F.col("p_type").alias("src"), size.alias("dst"))
-    three = part.where("p_size > 48").select(size.alias("src"), F.col("p_brand").alias("dst"))
+    one = part.select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"))
+    two = part.select(F.col("p_type").alias("src"), size.alias("dst"))
+    three = part.select(size.alias("src"), F.col("p_brand").alias("dst"))
     return one.union(two).union(three).distinct()
 
 
