@@ -11,8 +11,10 @@ Two nodes link when ``9 * |A and B| >= 4 * (|A| + |B|)``, the same as a Jaccard
    Large groups of near copies become one component by a number of comparisons linear in their size.
 3. Nodes are partitioned into groups of similar nodes: same first shared token, similar size, at
    most about ``GROUP``. The matrix has, for a token and a group, whether a member could link by
-   it, and the range of sizes and components. A node queries the groups with its prefix; groups all
-   of the node's own component are left out, so what is connected is not compared again.
+   it, and the range of sizes and components. A node queries the groups with its prefix: the number
+   of its tokens in the union of a group's prefixes bounds what it shares with each member, and
+   must reach the least that linked nodes have in both prefixes. Groups all of the node's own
+   component are left out, so what is connected is not compared again.
 4. Where the bound leaves a group, it is opened in a task, with others of the same first token: the union of the members' tokens bounds
    the overlap of the query with each of them, and only a query that reaches the least overlap
    needed meets the members. One link per query and component met is kept.
@@ -242,22 +244,25 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
     # 1: shared tokens of the prefixes; place: position of the token in the node's order
     nodes = sets.where("n > 0 and doc_id is not null").groupBy("node").agg(
-        F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies")
+        F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"),
+        F.min("doc_id").alias("doc_id"),
     )
+    nodes = materialize(nodes)
     rows = nodes.select("node", "n", "copies", F.posexplode("prefix").alias("place", "token"))
     common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    posts = materialize(rows.join(common.select("token"), "token"))
+    # tokens grow with the corpus: hints keep them from being broadcast, so the plan is one for all sizes
+    posts = materialize(rows.join(common.select("token").hint("merge"), "token"))
 
     candidates = posts.groupBy("node").agg(
         F.any_value("n").alias("n"), F.min(F.struct("place", "token"))["token"].alias("first"), F.count(F.lit(1)).alias("shared")
     )
     candidates = materialize(candidates)
-    ids = sets.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    ids = nodes.select("node", "doc_id")
 
     # 2: one link for each node
     pivots = posts.groupBy("token").agg(F.max(F.struct("copies", "node", "n")).alias("pivot"))
     votes = (
-        posts.join(pivots, "token").where("node <> pivot.node and 5 * n >= 4 * pivot.n and 5 * pivot.n >= 4 * n")
+        posts.join(pivots.hint("merge"), "token").where("node <> pivot.node and 5 * n >= 4 * pivot.n and 5 * pivot.n >= 4 * n")
         .groupBy("node", F.col("pivot.node").alias("pivot")).agg(F.count(F.lit(1)).alias("votes"), F.any_value("n").alias("n"))
         .groupBy("node").agg(F.max(F.struct("votes", "pivot")).alias("best"), F.any_value("n").alias("n"))
         .where("25 * best.votes >= n")
@@ -283,19 +288,25 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     bundle = F.xxhash64("first", F.pmod("group", "bundles")).alias("bundle")
     member = materialize(placed.join(first_labels, "node", "left").select("node", "group", bundle, label, "shared"))
     known = posts.select("token", "node", "n", "place").join(member, "node")
-    matrix = known.where("9 * place <= n").groupBy("token", "group").agg(
+    matrix = known.groupBy("token", "group").agg(
         F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"),
         F.max(F.expr("5 * n - 9 * place")).alias("reach"), F.max("shared").alias("shared1"), F.any_value("bundle").alias("to"),
+        F.count(F.lit(1)).alias("members"),
     )
-    queries = known.select("token", "node", "component", "n", "place", "shared")
+    queries = known.select("token", "node", "component", "n", "place", "shared", F.col("group").alias("own"))
     # of two linked nodes the smaller has at least size m, and so many tokens of both prefixes are common
     smaller = "greatest(n0, ceil(4 * n / 5))"
     needed = f"ceil(4 * (n + {smaller}) / 9) - ceil(4 * n / 5) + 1"
     met = queries.join(matrix, "token").where(
-        f"n0 <= n and 5 * n1 >= 4 * n and reach >= 4 * n and 5 * n - 9 * place >= 4 * {smaller} "
-        f"and least(shared, shared1) >= {needed} and (c0 <> c1 or c0 <> component)"
+        f"n0 <= n and 5 * n1 >= 4 * n and least(shared, shared1) >= {needed} and (c0 <> c1 or c0 <> component) "
+        "and (group <> own or members > 1)"
     )
-    asked = materialize(met.select("node", "component", "group", F.col("to").alias("bundle")).distinct())
+    # the first token that they share comes early in both
+    early = F.expr(f"reach >= 4 * n and 5 * n - 9 * place >= 4 * {smaller}")
+    bound = met.groupBy("node", "component", "group", F.col("to").alias("bundle")).agg(
+        F.count(F.lit(1)).alias("hits"), F.min(F.expr(needed)).alias("needed"), F.max(early).alias("early")
+    )
+    asked = materialize(bound.where("early and hits >= needed").select("node", "component", "group", "bundle"))
     members = materialize(member.join(asked.select("group").distinct(), "group", "left_semi").select("node", "component", "bundle"))
     asked = materialize(asked.select("node", "component", "bundle").distinct())
     tokens = _sets_of(docs, asked.select("node").union(members.select("node")).distinct(), ids, n)
