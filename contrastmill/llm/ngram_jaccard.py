@@ -45,6 +45,7 @@ BUNDLE = 256
 SIZE_STEP = 1.05
 FILTER_BITS = 1 << 23
 CHUNK = 512
+SLICE_BYTES = 1 << 18
 
 
 def shingles(data: np.ndarray, at: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +107,7 @@ def _frequent(n: int):
         for batch in batches:
             data, at = utf8(batch.column("text"))
             found = [np.zeros(0, np.uint64)]
-            for first, last in slices(at):
+            for first, last in slices(at, SLICE_BYTES):
                 found.append(token_sets(data[at[first] : at[last]], at[first : last + 1] - at[first], n)[0])
             tokens = np.concatenate(found)
             del found
@@ -140,7 +141,7 @@ def _prefixes(n: int, frequent: np.ndarray, rank: np.ndarray):
     def run(batches):
         for batch in batches:
             data, at = utf8(batch.column("text"))
-            for first, last in slices(at):
+            for first, last in slices(at, SLICE_BYTES):
                 tokens, begin = token_sets(data[at[first] : at[last]], at[first : last + 1] - at[first], n, frequent, rank)
                 size = np.diff(begin)
                 take = np.where(size > 0, prefix_length(size), 0)
@@ -161,7 +162,7 @@ def _whole_sets(n: int):
         for batch in batches:
             data, at = utf8(batch.column("text"))
             wanted = batch.column("node").to_numpy()
-            for first, last in slices(at):
+            for first, last in slices(at, SLICE_BYTES):
                 tokens, begin = token_sets(data[at[first] : at[last]], at[first : last + 1] - at[first], n)
                 node = nodes_of(tokens, begin)
                 right = [i for i in np.flatnonzero(node == wanted[first:last]) if node[i] not in seen]
