@@ -195,7 +195,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, ids: DataFrame, n: int) -> Data
     bits[table.column("word").to_numpy()] = table.column("bits").to_numpy()
     kind = docs.schema["doc_id"].dataType.simpleString()
     near = docs.where("doc_id is not null").select("doc_id", "text", slot).mapInArrow(_listed(bits), f"doc_id {kind}, text string")
-    return materialize(near.join(wanted, "doc_id").select("node", "text").mapInArrow(_whole_sets(n), "node long, tokens binary"))
+    # a shuffle on both sides: a broadcast would put both Python steps, and so two workers, in one task
+    return materialize(near.join(wanted.hint("merge"), "doc_id").select("node", "text").mapInArrow(_whole_sets(n), "node long, tokens binary"))
 
 
 def _verify(batches):
