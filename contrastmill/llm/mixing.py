@@ -85,14 +85,8 @@ def reached(share: Column, turn: Column, schedules: Sequence[Sequence[float]] =
     return F.least(part["t"] + x, F.lit(1.0))
 
 
-def mix(
-    docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES,
-    most_epochs: int = MOST_EPOCHS, size: Column | None = None,
-) -> DataFrame:
-    """``docs`` (``doc_id``, ``text``, ``source``) with ``size, source_size, target, taken, position``.
-
-    ``position`` is where the mix first takes the document (null: never). Rows come in its order.
-    """
+def _placed(docs: DataFrame, weights: Sequence[int], most_epochs: int, size: Column | None) -> DataFrame:
+    """``docs`` with ``_mix_size, _mix_source_size, _mix_target, _mix_taken, _mix_turn`` and ``_mix_before``, the words ahead in its source."""
     size = words(F.col("text")) if size is None else size
     code = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
     rows = docs.withColumns({"_mix_size": size, "_mix_code": code, "_mix_range": F.substring(code, 1, RANGE_DIGITS)})
@@ -127,22 +121,50 @@ def mix(
     taken = F.col("_mix_epochs") * F.col("_mix_size") + F.greatest(
         F.lit(0), F.least(F.col("_mix_size"), F.col("_mix_rest") - F.col("_mix_before"))
     )
-    share = F.col("_mix_before") / F.greatest(F.col("_mix_target"), F.lit(1.0))
-    joined = joined.withColumn("_mix_taken", taken.cast("long"))
-    joined = joined.withColumns(
+    return joined.withColumn("_mix_taken", taken.cast("long"))
+
+
+def _position(before: Column, schedules: Sequence[Sequence[float]]) -> Column:
+    """The time at which the mix has taken ``before`` words of the source."""
+    share = before / F.greatest(F.col("_mix_target"), F.lit(1.0))
+    return reached(F.least(share, F.lit(1.0)), F.col("_mix_turn"), schedules)
+
+
+def _without_own(df: DataFrame) -> DataFrame:
+    return df.drop(*(c for c in df.columns if c.startswith("_mix_")))
+
+
+def mix(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES,
+    most_epochs: int = MOST_EPOCHS, size: Column | None = None,
+) -> DataFrame:
+    """``docs`` (``doc_id``, ``text``, ``source``) with ``size, source_size, target, taken, position``.
+
+    ``position`` is where the mix first takes the document (null: never). Rows come in its order.
+    """
+    placed = _placed(docs, weights, most_epochs, size).withColumns(
         {
-            "size": F.col("_mix_size"), "source_size": whole, "target": F.col("_mix_target"), "taken": F.col("_mix_taken"),
-            "position": F.when(F.col("_mix_taken") > 0, reached(F.least(share, F.lit(1.0)), F.col("_mix_turn"), schedules)),
+            "size": F.col("_mix_size"), "source_size": F.col("_mix_source_size"), "target": F.col("_mix_target"),
+            "taken": F.col("_mix_taken"), "position": F.when(F.col("_mix_taken") > 0, _position(F.col("_mix_before"), schedules)),
         }
     )
-    out = joined.drop(*(c for c in joined.columns if c.startswith("_mix_")))
-    return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(
+    return _without_own(placed).repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(
         F.col("position").asc_nulls_last(), "doc_id"
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mix takes them, one row per time a document is taken, with its columns."""
-    taken = mix(docs, **options).where("taken > 0")
-    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    return taken.withColumn("_epoch", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES,
+    most_epochs: int = MOST_EPOCHS, size: Column | None = None,
+) -> DataFrame:
+    """The documents as the mix takes them, in its order: one row per time a document is taken, with its columns.
+
+    Each time has a position of its own, after all words of the source's earlier epochs.
+    """
+    placed = _placed(docs, weights, most_epochs, size).where("_mix_taken > 0")
+    times = F.ceil(F.col("_mix_taken") / F.col("_mix_size")).cast("int")
+    rows = placed.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), times - 1)))
+    before = F.col("_mix_before") + F.col("_mix_epoch") * F.col("_mix_source_size")
+    rows = rows.withColumn("_mix_position", _position(before, schedules))
+    order = ["_mix_position", "doc_id", "_mix_epoch"]
+    return _without_own(rows.repartitionByRange(*order).sortWithinPartitions(*order))

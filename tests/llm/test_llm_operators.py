@@ -1,6 +1,7 @@
 """Every operator of the subpackage against a plain version on small tables with the awkward cases."""
 
 import collections
+import hashlib
 import os
 import re
 import sys
@@ -94,6 +95,29 @@ def test_mixing(spark):
     assert one.target == 10.0
 
 
+def test_mixed_documents_repeats_have_positions(spark):
+    """Each time that a document is taken stands after all words of its source's earlier epochs."""
+    data = [(i, "w " * (1 + i % 5), "small" if i < 12 else "whole") for i in range(150)]
+    names = ("size", "source_size", "target", "taken", "position")
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in names})
+    got = mixed_documents(df, weights=(5, 1), schedules=((1.0, 1.0), (1.0, 1.0)))
+    assert got.columns == df.columns
+    got = got.collect()
+    total = {s: sum(1 + i % 5 for i, _, t in data if t == s) for s in ("small", "whole")}
+    want = {"small": 3 * total["small"], "whole": total["whole"] - 2 * total["small"]}
+    expected = []
+    for source in total:
+        ids = sorted((i for i, _, s in data if s == source), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        before = 0
+        for epoch in range(3):
+            for i in ids:
+                if before < want[source]:
+                    expected.append((before / want[source], i, epoch))
+                before += 1 + i % 5
+    assert [r.doc_id for r in got] == [i for _, i, _ in sorted(expected)]
+    assert all(r[c] == c for r in got for c in names)
+
+
 def plain_sum(values):
     """Left to right, without the correction that ``sum`` makes."""
     total = 0
