@@ -6,7 +6,6 @@ from catalog.roles import AS_OF, DOC_EDGES, PATTERNS, WORD_EDGES
 
 SQL: dict[str, str] = {}
 LOW = 0.05
-WORDS = 0.4
 
 DOCS = """
 docs AS (
@@ -582,7 +581,7 @@ UNION ALL
 {unpivot("docs", {"long": "bool", "size": "str"})}"""
 
 
-def word_job(s: float = WORDS) -> str:
+def word_job(s: float = 0.15) -> str:
     rows = WORD_ROWS[: WORD_ROWS.index(",\ntotals AS")]
     body = job(
         s, "SELECT g, rid FROM docs", WORD_ITEMS, WORD_EDGES, discovered=("addon", "module", "text"),

@@ -27,7 +27,6 @@ QUERIES: dict[str, Query] = {}
 
 # Support difference used for the queries about pairs, low enough for many of them.
 LOW = 0.05
-WORDS = 0.4
 
 
 def order_date() -> Column:
@@ -721,10 +720,7 @@ def _word_table(spark, sf):
 
 
 def _word_rules(spark, sf):
-    found = find_deviations(
-        roles.word_records(spark, sf), group_column="lang", features=roles.word_features(),
-        settings=Settings(min_support_diff=WORDS),
-    )
+    found = find_deviations(roles.word_records(spark, sf), group_column="lang", features=roles.word_features())
     return reports.label_items(found.rules, roles.word_features().families)
 
 

@@ -4,7 +4,8 @@ import pytest
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
-from catalog.oracle import STOP_WORDS
+from catalog import queries
+from catalog.oracle import SQL, STOP_WORDS
 from contrastmill.operators import discovery, groups, items, pairs, priors, reports, words
 from contrastmill.operators.features import addon_family, module_family
 from contrastmill.operators.items import Layout
@@ -170,3 +171,17 @@ def test_documents_are_typed_json(spark, tmp_path):
     assert chart[0].label == 'n="12" ∧ q"="12"'
     related = reports.addon_related_groups(labelled).collect()
     assert len(related) == 1 and related[0].total_group == 10 and len(related[0].addons) == 1
+
+
+def test_word_queries_keep_differences_of_the_default(spark):
+    """Items and pairs that differ by 0.15 to 0.4 are rules too, as in the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.001"
+    columns = ["g", "item1", "item2", *queries.COUNTS, *queries.TOTALS]
+    found = queries.find_deviations_families(spark, sf).select(columns).collect()
+    assert any(0.15 < abs(r.count_group / r.total_group - r.count_reference / r.total_reference) < 0.4 for r in found)
+    con = duckdb.connect()
+    for name in ("documents", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({SQL['find_deviations_families']})").fetchall()
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
