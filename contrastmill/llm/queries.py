@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contrastmill.llm import byte_bpe
 from contrastmill.llm.license_scan import license_matches
 from contrastmill.llm.main_text import main_texts
 from contrastmill.llm.mixing import mix
@@ -13,11 +14,13 @@ from contrastmill.llm.nearest_neighbours import nearest_neighbours
 from contrastmill.llm.ngram_jaccard import jaccard_components
 from contrastmill.llm.quality import quality_scores
 from contrastmill.llm.sentencepiece_scan import decode, encode
+from contrastmill.llm.spelling_variants import spelling_variants
 from contrastmill.llm.token_counts import token_counts
 from contrastmill.llm.top_k_search import top_k_search
 from contrastmill.llm.toxicity import toxicity_scores
 
 MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 TOKEN_LIMIT = 4096
 
 
@@ -69,10 +72,20 @@ def op10_license_scan(spark, sf_dir):
     return license_matches(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark, sf_dir):
+    columns = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_MODEL), columns)
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_main_text, op2_quality, op3_mixing, op4_top_k_search, op5_toxicity, op6_ngram_jaccard, op7_token_counts,
         op8_sentencepiece, op9_nearest_neighbours, op10_license_scan,
+        op12_byte_bpe, op13_spelling_variants,
     )
 }
