@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrastmill.llm import byte_bpe
+from contrastmill.llm.lexical_search import lexical_search
 from contrastmill.llm.license_scan import license_matches
 from contrastmill.llm.main_text import main_texts
 from contrastmill.llm.mixing import mix
@@ -72,6 +73,10 @@ def op10_license_scan(spark, sf_dir):
     return license_matches(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_byte_bpe(spark, sf_dir):
     columns = ("n_tokens", "ids_sha256", "decoded_sha256")
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_MODEL), columns)
@@ -86,6 +91,6 @@ QUERIES = {
     for f in (
         op1_main_text, op2_quality, op3_mixing, op4_top_k_search, op5_toxicity, op6_ngram_jaccard, op7_token_counts,
         op8_sentencepiece, op9_nearest_neighbours, op10_license_scan,
-        op12_byte_bpe, op13_spelling_variants,
+        op11_lexical_search, op12_byte_bpe, op13_spelling_variants,
     )
 }
