@@ -6,9 +6,9 @@ strongest terms are brought together by a range sort and cut into blocks of boun
 becomes a tree: a node is split between its two most distant documents until few are left.
 
 A node has a centroid and radii. Vectors are scaled by the root of the term's weight, which leaves
-inner products as they are, and a radius is taken in each band of terms (the most frequent term, the
-next, the next two, four, ...). As no impact is negative, a term that the centroid lacks occurs in
-no document of the node, so a query's bound is, summed over bands,
+inner products as they are, and a radius is taken in each band of terms (each of the most frequent
+ones, then ever larger ranges of them). As no impact is negative, a term that the centroid lacks
+occurs in no document of the node, so a query's bound is, summed over bands,
 
     <query, centroid> + |query on the centroid's terms| * radius.
 
@@ -59,6 +59,9 @@ QUERY_TERMS = 1 << 17
 BLOCK_ROWS = 1 << 10
 BLOCK_TERMS = 1 << 18
 LEAF_ROWS = 32
+#: So many of the most frequent terms are a band each; further bands grow by this factor.
+ALONE = 64
+BAND = 1.15
 #: Bytes of text that are cut into terms at once.
 WINDOW = 1 << 20
 #: More than the relative error of sums of four million doubles.
@@ -184,7 +187,8 @@ class Queries:
         n = len(self.weight)
         self.scale = np.sqrt(np.maximum(self.weight, 1).astype(np.float64))
         self.scaled = self.values / self.scale[self.terms]
-        self.edges = np.array([0, *(1 << i for i in range(n.bit_length() + 1) if 1 << i < n), n])
+        bands = [*range(ALONE), *(int(ALONE * BAND**i) for i in range(200))]
+        self.edges = np.unique([*(b for b in bands if b < n), n])
 
     @classmethod
     def of(cls, rows: list[tuple[object, Counter]], names: list[str], frequency: np.ndarray, n_docs: int):
