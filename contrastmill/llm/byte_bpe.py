@@ -38,6 +38,11 @@ REMEMBERED = 1 << 18
 
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = 0, 1, 2, 3, 255
 NEVER = np.int64(1) << 40
+NONE = 1 << 40
+#: Bytes of a token's beginning by which its possible lengths are looked up.
+PREFIX = 4
+#: Words up to so many bytes are merged by scanning their ranks, longer ones with a heap.
+SHORT = 64
 
 TYPES = {
     "n_tokens": ("long", pa.int64()),
@@ -113,9 +118,11 @@ class ByteBpe:
             valid[m] = ok and valid[a] and valid[b]
         self.valid = valid
         self.token = {spelled[i]: int(i) for i in np.flatnonzero(valid)}
+        # lengths of the tokens with a certain beginning, longest first
         lengths: dict[bytes, set[int]] = {}
         for s in self.token:
-            lengths.setdefault(s[:2], set()).add(len(s))
+            if len(s) >= PREFIX:
+                lengths.setdefault(s[:PREFIX], set()).add(len(s))
         self.lengths_from = {k: sorted(v, reverse=True) for k, v in lengths.items()}
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
         self.forget()
@@ -170,20 +177,41 @@ class ByteBpe:
         if whole is not None:
             return [whole]
         out, i, n = [], 0, len(word)
-        token, lengths_from = self.token, self.lengths_from
+        get, long = self.token.get, self.lengths_from.get
         while i < n:
-            for size in lengths_from.get(word[i : i + 2], ()):
-                found = token.get(word[i : i + size]) if i + size <= n else None
-                if found is not None:
+            found = None
+            for size in long(word[i : i + PREFIX], ()):
+                if i + size <= n and (found := get(word[i : i + size])) is not None:
                     break
             else:
-                size, found = 1, self.single[word[i]]
+                for size in range(min(PREFIX - 1, n - i), 0, -1):
+                    if (found := get(word[i : i + size])) is not None:
+                        break
             out.append(found)
             i += size
         return out
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: always the pair of lowest rank, the leftmost of several."""
+        if len(word) > SHORT:
+            return self._merge_long(word)
+        ids = [self.single[b] for b in word]
+        get, size, made = self.rank_of.get, self.size, self.made
+        ranks = [get(a * size + b, NONE) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == NONE:
+                break
+            i = ranks.index(rank)
+            ids[i : i + 2] = [made[rank]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] * size + ids[i], NONE)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] * size + ids[i + 1], NONE)
+        return ids
+
+    def _merge_long(self, word: bytes) -> list[int]:
         ids = [self.single[b] for b in word]
         n = len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
