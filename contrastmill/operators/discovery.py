@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrastmill.operators.features import VERSION_SUFFIX, Family
 from contrastmill.operators.groups import GROUP, POPULATION, with_reference_count
 from contrastmill.operators.items import Layout
+from contrastmill.operators.numbering import rank_within
+from contrastmill.runtime import materialize
 
 
 def member_counts(tagged: DataFrame, members: Column, overlapping: bool = False, record_id: str | None = None) -> DataFrame:
@@ -59,9 +61,8 @@ def feature_threshold(counts: DataFrame, min_support: float, by_reference: bool
 def feature_ids(kept: DataFrame, prefix: Column | str = "MOD") -> DataFrame:
     """Short ids that do not change between runs: numbered by name within a family."""
     prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
-    w = Window.partitionBy("family").orderBy("member")
-    distinct = kept.select("family", "member").distinct()
-    return distinct.withColumn("feature_id", F.concat(prefix, (F.row_number().over(w) - 1).cast("string")))
+    ranked = rank_within(kept.select("family", "member").distinct(), ["family"], ["member"], "__rank")
+    return ranked.withColumn("feature_id", F.concat(prefix, (F.col("__rank") - 1).cast("string"))).drop("__rank")
 
 
 def keep_discovered(items: DataFrame, layout: Layout, min_support: float) -> DataFrame:
@@ -82,10 +83,12 @@ def keep_discovered(items: DataFrame, layout: Layout, min_support: float) -> Dat
         return items.where(~is_member | passes)
     is_version = family.isin(versions)
     base = F.when(is_version, F.substr(family, F.lit(1), F.length(family) - len(VERSION_SUFFIX))).otherwise(family)
-    of_member = Window.partitionBy(POPULATION, "__base", "__name")
-    return (
+    marked = materialize(
         items.withColumns({"__base": base, "__name": F.coalesce("name", "key"), "__kept": is_member & passes})
-        .withColumn("__listed", F.max("__kept").over(of_member))
-        .where(F.col("__kept") | (is_version & F.col("__listed")) | ~(is_member | is_version))
-        .drop("__base", "__name", "__kept", "__listed")
     )
+    # members kept anywhere in a population, once each, whatever the number of its groups
+    same = [POPULATION, "__base", "__name"]
+    listed = marked.where("__kept").select(*same).distinct()
+    of_listed = marked.where(is_version).join(listed, same, "left_semi")
+    others = marked.where(F.col("__kept") | ~(is_member | is_version))
+    return others.unionByName(of_listed).drop("__base", "__name", "__kept")

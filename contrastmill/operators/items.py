@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,8 @@ from contrastmill.operators.features import (
     version_column,
 )
 from contrastmill.operators.groups import GROUP, POPULATION, col, with_reference_count
+from contrastmill.operators.numbering import rank_within
+from contrastmill.runtime import materialize
 
 ITEM = ["kid", "name", "value"]
 
@@ -188,15 +190,13 @@ def grouped_support(counts: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def with_item_ids(items: DataFrame) -> DataFrame:
-    """Number the surviving items: slot in the upper half, rank within the slot in the lower.
-
-    Ranks are counted within each slot, and a slot has few survivors, as each needs a minimum
-    share of some group.
-    """
-    w = Window.partitionBy("kid").orderBy("name", "value")
-    return items.withColumn(
-        "item_id", F.shiftleft(F.col("kid").cast("bigint"), 32) + F.dense_rank().over(w)
-    )
+    """Number the surviving items: slot in the upper half, rank within the slot in the lower."""
+    items = materialize(items)
+    ranked = rank_within(items.select(*ITEM).distinct(), ["kid"], ["name", "value"], "__rank")
+    item_id = F.shiftleft(F.col("kid").cast("bigint"), 32) + F.col("__rank")
+    ids = ranked.select(*[F.col(c).alias(f"__{c}") for c in ITEM], item_id.alias("item_id"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ITEM]
+    return items.join(ids, same).drop(*[f"__{c}" for c in ITEM])
 
 
 def slot_of(item_id: Column) -> Column:

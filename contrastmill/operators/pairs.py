@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contrastmill.operators.groups import GROUP, POPULATION, col, with_reference_count
-from contrastmill.operators.items import Layout, Slot, item_array, slot_of
-
-PAIR = ["lo", "hi"]
+from contrastmill.operators.bitmaps import PAIR, count_pairs, row_bitmaps
+from contrastmill.operators.groups import GROUP, POPULATION
+from contrastmill.operators.items import ITEM, Layout, item_array
+from contrastmill.operators.numbering import with_row_number
+from contrastmill.runtime import materialize
 
 # Item fields a pair carries for each of its two members.
 MEMBER_FIELDS = ("key", "value", "vtype", "family", "name", "kid", "count_group", "count_reference")
 
 
-@dataclass(frozen=True)
-class Limits:
-    """Sizes up to which a small table is put into the plan or sent to every executor.
-
-    Beyond them the same result comes from a join that Catalyst plans by size.
-    """
-
-    inline_items: int = 4000
-    broadcast_items: int = 1_000_000
-    broadcast_pairs: int = 1_000_000
-
-
 def pair_constraint(candidates: DataFrame, restricted: Mapping[int, Sequence[str]]) -> DataFrame:
     """Items of a restricted slot pair only with the keys named for it, in either position."""
     for kid, keys in restricted.items():
@@ -42,161 +30,61 @@ def pair_constraint(candidates: DataFrame, restricted: Mapping[int, Sequence[str
 def pair_candidates(items: DataFrame, restricted: Mapping[int, Sequence[str]] | None = None) -> DataFrame:
     """Pairs of surviving items of one group with different keys.
 
-    Joins the rule table with itself: a group has at most a few survivors per key.
+    Free items pair among themselves, a group has at most a few per key. Items of a restricted
+    slot, which may be many, are joined by key to the free ones they are named for, and never to
+    each other.
     """
+    restricted = restricted or {}
 
-    def side(name: str) -> DataFrame:
+    def side(rows: DataFrame, name: str, totals: bool = False) -> DataFrame:
         fields = [F.col(f).alias(f"{name}_{f}") for f in MEMBER_FIELDS]
-        totals = ["total_group", "total_reference"] if name == "lo" else []
-        return items.select(POPULATION, GROUP, F.col("item_id").alias(name), *fields, *totals)
-
-    pairs = (
-        side("lo")
-        .join(side("hi"), [POPULATION, GROUP])
-        .where((F.col("lo") < F.col("hi")) & (F.col("lo_key") != F.col("hi_key")))
-    )
-    return pair_constraint(pairs, restricted or {})
-
-
-def _code(value: Column, known: Sequence[tuple[str | None, int]]) -> Column:
-    """Item id of a value, null for values that did not survive. The most frequent come first."""
-    chain = None
-    for text, item_id in known:
-        test = value.isNull() if text is None else value == F.lit(text)
-        chain = F.when(test, F.lit(item_id)) if chain is None else chain.when(test, F.lit(item_id))
-    texts = [t for t, _ in known if t is not None]
-    if len(texts) > 12:
-        listed = value.isin(texts)
-        listed = listed | value.isNull() if len(texts) < len(known) else listed
-        chain = F.when(listed, chain)
-    return chain
-
-
-def _codes(slot: Slot, known: Sequence[tuple[str, int]], text: Callable[[Column], Column]) -> Column:
-    """Item ids of the list in a slot; ``text`` is what tells its elements apart."""
-    return F.array_compact(F.transform(col(slot.column), lambda element: _code(text(element), known)))
-
-
-def _of_slot(kid: int) -> Callable[[Column], Column]:
-    return lambda item_id: slot_of(item_id) == kid
+        more = ["total_group", "total_reference"] if totals else []
+        return rows.select(POPULATION, GROUP, F.col("item_id").alias(name), *fields, *more)
+
+    free = items.where(~F.col("kid").isin(list(restricted))) if restricted else items
+    different = F.col("lo_key") != F.col("hi_key")
+    both = side(free, "lo", True).join(side(free, "hi"), [POPULATION, GROUP])
+    pairs = both.where((F.col("lo") < F.col("hi")) & different)
+    plain = free.where(F.col("family").isNull())
+    for kid, keys in restricted.items():
+        held, partner = items.where(F.col("kid") == kid), plain.where(F.col("key").isin(list(keys)))
+        for lo, hi in ((held, partner), (partner, held)):
+            met = side(lo, "lo", True).join(side(hi, "hi"), [POPULATION, GROUP])
+            pairs = pairs.unionByName(met.where((F.col("lo") < F.col("hi")) & different))
+    return pairs
 
 
-def row_item_ids(layout: Layout, dictionary: Sequence) -> Column:
-    """Ids of the surviving items of a row, in ascending order.
+def occurrences(tagged: DataFrame, layout: Layout, items: DataFrame) -> DataFrame:
+    """``population, g, row, item_id``: the surviving items of every row, each in a row of its own.
 
-    ``dictionary`` holds the survivors, ``(kid, name, value, item_id)``, most frequent first.
-    Slots without a survivor are not read.
+    Only slots with a survivor are read. An item finds its number by a hash of what it is, and what
+    it is is compared too.
     """
-    by_slot: dict[int, list] = {}
-    for row in dictionary:
-        by_slot.setdefault(row["kid"], []).append(row)
-    plain, lists = [], []
-    for slot in layout.slots:
-        rows = by_slot.get(slot.kid)
-        if not rows:
-            continue
-        if slot.kind == "scalar":
-            plain.append(_code(col(slot.column).cast("string"), [(r["value"], r["item_id"]) for r in rows]))
-        elif slot.kind == "members":
-            lists.append(_codes(slot, [(r["name"], r["item_id"]) for r in rows], lambda m: m))
-        else:
-            known = [(f"{r['name']}:{r['value']}", r["item_id"]) for r in rows]
-            lists.append(_codes(slot, known, lambda v: F.concat(v["name"], F.lit(":"), v["value"])))
-    parts = [F.array_compact(F.array(*plain))] if plain else []
-    parts += lists
-    if not parts:
-        return F.array().cast("array<bigint>")
-    return F.array_sort(parts[0] if len(parts) == 1 else F.concat(*parts))
-
-
-def expand_pairs(rows: DataFrame, layout: Layout) -> DataFrame:
-    """Pairs of the item ids of each row, ``lo < hi``.
-
-    Restricted slots are kept aside, so that their many items meet only the few they may pair
-    with and not each other.
-    """
-    restricted = layout.restricted
-    slots = list(restricted)
-    free = F.filter("ids", lambda i: ~slot_of(i).isin(slots)) if slots else F.col("ids")
-    aside = [F.filter("ids", _of_slot(k)).alias(f"ids_{k}") for k in slots]
-    rows = rows.select(POPULATION, GROUP, free.alias("ids"), *aside)
-    # The outer form keeps Catalyst from adding a filter that would build the ids a second time.
-    first = rows.select("*", F.posexplode_outer("ids").alias("pos", "lo"))
-    parts = [F.slice("ids", F.col("pos") + 2, F.size("ids"))]
-    kid_of_key = {s.key: s.kid for s in layout.slots if s.kind == "scalar" and s.family is None}
-    for kid, keys in restricted.items():
-        anchors = [kid_of_key[k] for k in keys if k in kid_of_key]
-        if anchors:
-            parts.append(
-                F.when(slot_of(F.col("lo")).isin(anchors), F.col(f"ids_{kid}")).otherwise(
-                    F.array().cast("array<bigint>")
-                )
-            )
-    partners = parts[0] if len(parts) == 1 else F.concat(*parts)
-    pairs = first.select(POPULATION, GROUP, "lo", F.explode(partners).alias("hi"))
-    if not restricted:
-        return pairs
-    return pairs.select(POPULATION, GROUP, F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
-
-
-def _pairs_by_join(tagged: DataFrame, layout: Layout, dictionary: DataFrame, hint: bool) -> DataFrame:
-    """Pairs when the survivors are too many for an expression: look both members up by join."""
-
-    def known(side: str) -> DataFrame:
-        table = dictionary.select(
-            F.col("kid").alias(f"{side}_kid"), F.col("name").alias(f"{side}_name"),
-            F.col("value").alias(f"{side}_value"), F.col("item_id").alias(side),
-        )
-        return F.broadcast(table) if hint else table
-
-    def matches(side: str) -> Column:
-        item = F.col("item")
-        return (
-            (item["kid"] == F.col(f"{side}_kid"))
-            & item["name"].eqNullSafe(F.col(f"{side}_name"))
-            & item["value"].eqNullSafe(F.col(f"{side}_value"))
-        )
-
-    rows = tagged.select(POPULATION, GROUP, item_array(layout).alias("items"))
-    first = rows.select("*", F.posexplode("items").alias("pos", "item")).join(known("a"), matches("a"))
-    rest = F.slice("items", F.col("pos") + 2, F.size("items"))
-    second = first.select(POPULATION, GROUP, "a", F.explode(rest).alias("item")).join(known("b"), matches("b"))
-    return second.select(POPULATION, GROUP, F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    kids = {r["kid"] for r in items.select("kid").distinct().collect()}  # at most one for each column
+    layout = Layout(tuple(s for s in layout.slots if s.kid in kids), layout.families)
+    if not layout.slots:
+        empty = items.where("false")
+        return empty.select(POPULATION, GROUP, F.col("item_id").alias("row"), "item_id")
+    rows = with_row_number(tagged.select(POPULATION, GROUP, item_array(layout).alias("items")), "row")
+    each = rows.select(POPULATION, GROUP, "row", F.inline("items")).withColumn("hash", F.xxhash64(*ITEM))
+    known = items.select(*ITEM, "item_id").distinct()
+    known = known.select("item_id", F.xxhash64(*ITEM).alias("hash"), *[F.col(c).alias(f"__{c}") for c in ITEM])
+    same: list[Column] = [each["hash"] == known["hash"]]
+    same += [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ITEM]
+    return each.join(known, same).select(POPULATION, GROUP, "row", "item_id")
 
 
 def pair_counts(
-    tagged: DataFrame,
-    layout: Layout,
-    items: DataFrame,
-    candidates: DataFrame,
-    overlapping: bool = False,
-    limits: Limits = Limits(),
-    many_groups: bool = False,
+    tagged: DataFrame, layout: Layout, items: DataFrame, candidates: DataFrame, overlapping: bool = False
 ) -> DataFrame:
     """Rows that have both items of a candidate pair, per group and in the reference.
 
-    ``items`` and ``candidates`` should be written tables, as their sizes decide the plan.
-    The pairs of a row are made and aggregated in one stage; a row yields pairs of surviving
-    items only.
+    ``items`` and ``candidates`` should be written tables. Rows become bitmaps of items in the
+    stage of the scan, and only candidates are ever counted (``operators.bitmaps``).
     """
-    dictionary = items.groupBy("kid", "name", "value", "item_id").agg(
-        F.max("count_reference").alias("frequency")
-    )
-    wanted = candidates.select(POPULATION, *PAIR).distinct()
-    survivors = dictionary.limit(limits.inline_items + 1).collect()
-    if len(survivors) <= limits.inline_items:
-        survivors.sort(key=lambda r: (-r["frequency"], r["item_id"]))
-        pairs = expand_pairs(
-            tagged.select(POPULATION, GROUP, row_item_ids(layout, survivors).alias("ids")), layout
-        )
-    else:
-        small = dictionary.count() <= limits.broadcast_items
-        pairs = _pairs_by_join(tagged, layout, dictionary, small)
-    few = candidates.count() <= limits.broadcast_pairs or wanted.count() <= limits.broadcast_pairs
-    if few:
-        pairs = pairs.join(F.broadcast(wanted), [POPULATION, *PAIR], "left_semi")
-    counts = pairs.groupBy(POPULATION, *PAIR, GROUP).agg(F.count(F.lit(1)).alias("count_group"))
-    if not few:
-        counts = counts.join(wanted, [POPULATION, *PAIR], "left_semi")
-    counts = with_reference_count(counts, [POPULATION, *PAIR], overlapping, many_groups)
-    return counts.join(candidates, [POPULATION, GROUP, *PAIR])
+    bitmaps = materialize(row_bitmaps(occurrences(tagged, layout, items)))
+    counts = materialize(count_pairs(bitmaps, candidates.select(POPULATION, GROUP, *PAIR), overlapping))
+    own = counts.where(~F.col("reference")).select(POPULATION, GROUP, *PAIR, F.col("n").alias("count_group"))
+    total = counts.where("reference").select(POPULATION, *PAIR, F.col("n").alias("count_reference"))
+    found = own.join(total, [POPULATION, *PAIR], "left").withColumn("count_reference", F.coalesce("count_reference", F.lit(0)))
+    return found.join(candidates, [POPULATION, GROUP, *PAIR])

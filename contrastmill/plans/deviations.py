@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,6 @@ from contrastmill.operators import groups as grouping
 from contrastmill.operators.features import FeatureSet, derive_features
 from contrastmill.operators.groups import GROUP, POPULATION
 from contrastmill.operators.items import Layout
-from contrastmill.operators.pairs import Limits
 from contrastmill.runtime import materialize
 
 FIGURES = [*rules.FIGURES, "chi2", "phi"]
@@ -29,7 +28,6 @@ class Settings:
     min_count: int = 5
     alpha: float = 0.05
     interaction_table: str = "shifted"
-    limits: Limits = field(default_factory=Limits)
 
 
 @dataclass(frozen=True)
@@ -76,12 +74,11 @@ def surviving_pairs(
     level1: DataFrame,
     settings: Settings,
     overlapping: bool,
-    many_groups: bool = False,
 ) -> DataFrame:
     """Level 2: pair up, count and prune in one more scan, over the columns with survivors."""
     s = settings.min_support_diff
     candidates = materialize(pairs.pair_candidates(level1, layout.restricted))
-    counted = pairs.pair_counts(tagged, layout, level1, candidates, overlapping, settings.limits, many_groups)
+    counted = pairs.pair_counts(tagged, layout, level1, candidates, overlapping)
     kept = pruning.prune_support(pruning.with_parent_supports(counted), s, settings.min_count)
     return pruning.prune_insignificant(pruning.prune_no_change(kept, s))
 
@@ -137,7 +134,7 @@ def mine(
     level1 = materialize(
         surviving_items(tagged, layout, large, settings, overlapping, features.only_true, many_groups)
     )
-    level2 = materialize(surviving_pairs(tagged, layout, level1, settings, overlapping, many_groups))
+    level2 = materialize(surviving_pairs(tagged, layout, level1, settings, overlapping))
     edges = priors.prior_edges(tagged.sparkSession, features.edges)
     closure = priors.prior_closure(edges) if features.edges else edges
     return Deviations(accept(level1, level2, closure, settings), large, small, features)

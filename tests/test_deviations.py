@@ -5,7 +5,7 @@ from brute import collected, deviations
 from pyspark.sql import functions as F
 
 from contrastmill import FeatureSet, Settings, find_deviations
-from contrastmill.operators.pairs import Limits
+from contrastmill.operators import bitmaps
 from contrastmill.plans.crash_reports import MODULE_PARTNERS, PRIORS, crash_features
 
 SCHEMA = """uuid string, signature string, product string, platform string, platform_version string,
@@ -136,14 +136,19 @@ def test_equality_groups(crashes):
     assert [r["g"] for r in found.skipped.collect()] == ["tiny"]
 
 
-def test_result_does_not_depend_on_limits_or_partitioning(crashes):
+def test_result_does_not_depend_on_blocks_or_partitioning(crashes, monkeypatch):
     rows, df = crashes
     names = ["A", "B.c", "C", "tiny"]
     plain = collected(find_deviations(df, group_column="signature", names=names, features=crash_features(NOTES)).rules)
-    tight = Settings(limits=Limits(inline_items=2, broadcast_items=3, broadcast_pairs=1))
+    monkeypatch.setattr(bitmaps, "HELD", 100)
+    monkeypatch.setattr(bitmaps, "BLOCK_BITS", 6)
+    df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     shuffled = df.orderBy(F.rand(7)).repartition(5)
-    other = find_deviations(shuffled, group_column="signature", names=list(reversed(names)), features=crash_features(NOTES), settings=tight)
-    assert collected(other.rules) == plain
+    other = find_deviations(shuffled, group_column="signature", names=list(reversed(names)), features=crash_features(NOTES))
+    try:
+        assert collected(other.rules) == plain
+    finally:
+        df.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_lower_threshold_and_known_addons(crashes):
