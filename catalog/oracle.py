@@ -450,9 +450,18 @@ MODULES = "SELECT rid, g, w AS member FROM words"
 TEXTS = " UNION ALL ".join(
     f"SELECT doc_id AS rid, lang AS g, '{p}' AS member FROM documents WHERE contains(text, '{p}')" for p in PATTERNS
 )
+PATTERN_HITS = """patterns AS (
+  SELECT DISTINCT unnest(string_split(text, ' ')) AS pattern FROM benchmark),
+hits AS (SELECT doc_id, lang, pattern FROM documents JOIN patterns ON pattern <> '' AND contains(text, pattern))"""
 SQL["substring_counts"] = f"SELECT g, member, {COUNTS} FROM {member_counts(TEXTS)}"
 SQL["addon_counts"] = f"WITH {WORD_ROWS} SELECT g, member, {COUNTS} FROM {member_counts(ADDONS)} WHERE cg >= 5 AND cr >= 5"
 SQL["module_counts"] = f"WITH {WORD_ROWS} SELECT g, member, {COUNTS} FROM {member_counts(MODULES)} WHERE cg >= 5 AND cr >= 5"
+SQL["pattern_counts"] = f"""WITH {PATTERN_HITS}, sizes AS (
+  SELECT lang AS g, pattern AS member, count(*) AS count_group FROM hits GROUP BY ALL)
+SELECT *, CAST(sum(count_group) OVER (PARTITION BY member) AS BIGINT) AS count_reference FROM sizes"""
+SQL["pattern_members"] = f"""WITH {PATTERN_HITS}
+SELECT d.doc_id, count(pattern) AS n, min(pattern) AS first, max(pattern) AS last FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY 1"""
+SQL["module_counts_in_job"] = SQL["module_counts"]
 SQL["clamp_counts"] = f"""WITH {WORD_ROWS}
 SELECT g, member, least(cg, tg) AS count_group, least(cr, tr) AS count_reference
 FROM {member_counts(ADDONS, False)} JOIN totals USING (g) WHERE least(cg, tg) >= 5 AND least(cr, tr) >= 5"""
@@ -486,6 +495,19 @@ SQL["zero_fill"] = docs_query(f"""SELECT x.g, {label("y.")} AS item, y.vtype,
   coalesce(c.cg, 0) AS count_group, y.cr AS count_reference
 FROM ref_counts y CROSS JOIN (VALUES ('en'), ('fr'), ('de'), ('es')) AS x(g)
 LEFT JOIN counts c ON c.g = x.g AND c.key = y.key AND c.value IS NOT DISTINCT FROM y.value""")
+def bucket_job() -> str:
+    body = job(0.15, "SELECT CAST(rid % 50 AS VARCHAR) AS g, rid FROM docs", unpivot("docs", KINDS), (("nothing", "else"),))
+    return f"WITH RECURSIVE {DOCS}, {body}"
+
+
+SQL["sparse_zero_fill"] = f"""{bucket_job()} SELECT x.g, {label("y.")} AS item, y.vtype,
+  coalesce(c.cg, 0) AS count_group, y.cr AS count_reference
+FROM ref_counts y CROSS JOIN totals x
+LEFT JOIN counts c ON c.g = x.g AND c.key = y.key AND c.value IS NOT DISTINCT FROM y.value
+WHERE c.cg IS NOT NULL OR y.cr >= x.tr * 0.15"""
+SQL["item_ids"] = f"""{bucket_job()} SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY value NULLS FIRST) AS number
+FROM (SELECT DISTINCT key, value FROM level1)"""
+SQL["pair_counts_buckets"] = f"{bucket_job()} SELECT {PAIR} FROM pair_counts"
 SQL["grouped_support"] = docs_query(
     f"SELECT {ITEM}, round(cg / tg, 6) AS support_group, round(cr / tr, 6) AS support_reference "
     "FROM counts JOIN totals USING (g)"
@@ -592,6 +614,7 @@ def word_job(s: float = 0.15) -> str:
 
 DISPLAY = """CASE family WHEN 'addon' THEN 'Addon "' || name || '"' WHEN 'addon-version' THEN 'Addon "' || name || '" Version'
   WHEN 'module' THEN 'Module "' || name || '"' WHEN 'text' THEN '"' || name || '" in text' ELSE key END"""
+SQL["find_deviations_buckets"] = f"{bucket_job()} {RULES}"
 SQL["find_deviations_families"] = f"{word_job()} {RULES}"
 SQL["prune_addon_version"] = f"""{word_job(0.15)} SELECT {ITEM} FROM level1 WHERE family IN ('addon', 'addon-version')"""
 RELATED = """SELECT * FROM rules WHERE n = 1 AND family IN ('addon', 'addon-version') AND cg / tg > cr / tr"""

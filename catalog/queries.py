@@ -12,7 +12,7 @@ from catalog import roles
 from catalog.roles import AS_OF, PATTERNS, table
 from contrastmill import FeatureSet, FeatureSpec, Settings, batch_by_channel, find_deviations
 from contrastmill.functions import scalars, stats
-from contrastmill.operators import discovery, items, pairs, priors, pruning, reports, rules, words
+from contrastmill.operators import discovery, items, pairs, patterns, priors, pruning, reports, rules, words
 from contrastmill.operators import features as feature_ops
 from contrastmill.operators import groups as grouping
 from contrastmill.operators.groups import GROUP, POPULATION
@@ -355,6 +355,40 @@ def module_counts(spark, sf):
     return items.min_count_filter(counted).select("g", "member", *COUNTS)
 
 
+def _pattern_table(spark, sf):
+    """Every different word of the benchmark passages, of one letter and more."""
+    word = F.explode(F.split("text", " ")).alias("pattern")
+    return table(spark, sf, "benchmark").select(word).where("pattern <> ''").distinct()
+
+
+@query
+def pattern_counts(spark, sf):
+    """A dictionary table searched for in every document."""
+    tagged = _by_lang(roles.spread(spark, sf, "documents"))
+    return patterns.pattern_counts(tagged, "text", _pattern_table(spark, sf)).select("g", "member", *COUNTS)
+
+
+@query
+def pattern_members(spark, sf):
+    """The strings of the dictionary that each text holds, as an array; its size and its ends."""
+    texts = roles.spread(spark, sf, "documents").select("doc_id", "text")
+    found = patterns.with_pattern_members(texts, "text", _pattern_table(spark, sf), "members")
+    return found.select(
+        "doc_id", F.size("members").cast("bigint").alias("n"), F.array_min("members").alias("first"), F.array_max("members").alias("last")
+    )
+
+
+@query
+def module_counts_in_job(spark, sf):
+    """The job's own counts of modules by record, where a third of the records come twice."""
+    records = roles.word_records(spark, sf).drop("addons", "text")
+    twice = records.unionByName(records.where("doc_id % 3 = 0"))
+    features = FeatureSet(families=(roles.word_modules("doc_id"),), drop=("doc_id", "n_chars", "json_dump", "source"))
+    tagged, families = feature_ops.derive_features(_by_lang(twice).drop("lang"), features)
+    counted = items.item_counts(tagged, Layout.of(tagged, families)).where("family = 'module'")
+    return items.min_count_filter(counted).select("g", F.col("name").alias("member"), *COUNTS)
+
+
 def _thresholded(spark, sf):
     tagged = _by_lang(roles.word_records(spark, sf))
     totals = grouping.group_totals(tagged)
@@ -490,6 +524,54 @@ def zero_fill(spark, sf):
     return items_out(items.zero_fill(reference, own, ["key", "value", "vtype"], ["en", "fr", "de", "es"]))
 
 
+@query
+def sparse_zero_fill(spark, sf):
+    """Counts of all items in every bucket of ids, with zeros only for those frequent in the reference."""
+    tagged = grouping.group_by_equality(_bucketed(spark, sf), "bucket").drop("bucket")
+    counted = items.item_counts(tagged, Layout.of(tagged), many_groups=True)
+    totals = grouping.group_totals(tagged)
+    reference = counted.groupBy("key", "value", "vtype").agg(F.max("count_reference").alias("count_reference"))
+    own = counted.select("key", "value", "vtype", "g", "count_group")
+    return items_out(items.sparse_zero_fill(reference, own, ["key", "value", "vtype"], totals, 0.15))
+
+
+BUCKETS = 50
+
+
+def _bucketed(spark, sf):
+    bucket = (F.col("doc_id") % BUCKETS).cast("string")
+    docs = roles.spread(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return docs.select(bucket.alias("bucket"), *roles.doc_features())
+
+
+@query
+def item_ids(spark, sf):
+    """Numbers of the surviving items within their column, where every bucket of ids is a group."""
+    tagged = grouping.group_by_equality(_bucketed(spark, sf), "bucket").drop("bucket")
+    layout = Layout.of(tagged)
+    settings = Settings(min_support_diff=0.15)
+    found = surviving_items(tagged, layout, grouping.group_totals(tagged), settings, False, many_groups=True)
+    rank = F.col("item_id").bitwiseAND(F.lit((1 << 32) - 1))
+    return found.select("key", "value", rank.alias("number")).distinct()
+
+
+@query
+def find_deviations_buckets(spark, sf):
+    """The job where every bucket of ids is a group."""
+    found = find_deviations(_bucketed(spark, sf), group_column="bucket", settings=Settings(min_support_diff=0.15))
+    return rules_out(found.rules)
+
+
+@query
+def pair_counts_buckets(spark, sf):
+    """Counts of pairs where every bucket of ids is a group."""
+    tagged = grouping.group_by_equality(_bucketed(spark, sf), "bucket").drop("bucket")
+    layout, settings = Layout.of(tagged), Settings(min_support_diff=0.15)
+    level1 = materialize(surviving_items(tagged, layout, grouping.group_totals(tagged), settings, False, many_groups=True))
+    candidates = materialize(pairs.pair_candidates(level1))
+    return pairs_out(pairs.pair_counts(tagged, layout, level1, candidates))
+
+
 @query
 def grouped_support(spark, sf):
     chain = Chain(spark, sf)

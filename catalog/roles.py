@@ -6,7 +6,7 @@ each row by itself or with one plain join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrastmill.functions import scalars
@@ -41,17 +41,18 @@ def spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spread_scan(table(spark, sf, name))
 
 
+def doc_features() -> list[Column | str]:
+    text, n = F.col("text"), F.col("n_chars")
+    return [
+        "source", F.col("quality").cast("string").alias("quality"), "toxic",
+        text.contains("the").alias("has_the"), text.contains("ê").alias("has_e"), (n > 2000).alias("long"),
+        F.when(n < 500, "small").when(n < 4000, "medium").otherwise("large").alias("size"),
+    ]
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with their labels where they have some; ``lang`` is the group."""
-    text, n = F.col("text"), F.col("n_chars")
-    return (
-        spread(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-        .select(
-            "lang", "source", F.col("quality").cast("string").alias("quality"), "toxic",
-            text.contains("the").alias("has_the"), text.contains("ê").alias("has_e"), (n > 2000).alias("long"),
-            F.when(n < 500, "small").when(n < 4000, "medium").otherwise("large").alias("size"),
-        )
-    )
+    return spread(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("lang", *doc_features())
 
 
 def raw_words():
@@ -84,9 +85,9 @@ WORD_MODULES = None
 WORD_TEXTS = text_family("text", PATTERNS, "text", '"%s" in text')
 
 
-def word_modules():
+def word_modules(record_id: str | None = None):
     return module_family(
-        scalars.module_names(F.col("json_dump.modules.list")), ("json_dump",), partners=("long", "size")
+        scalars.module_names(F.col("json_dump.modules.list")), ("json_dump",), partners=("long", "size"), record_id=record_id
     )
 
 

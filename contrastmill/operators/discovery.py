@@ -23,7 +23,7 @@ def member_counts(tagged: DataFrame, members: Column, overlapping: bool = False,
     if ids:
         rows = rows.dropDuplicates([POPULATION, GROUP, record_id, "member"])
     counts = rows.groupBy(POPULATION, "member", GROUP).agg(F.count(F.lit(1)).alias("count_group"))
-    return with_reference_count(counts, [POPULATION, "member"], overlapping)
+    return with_reference_count(counts, [POPULATION, "member"], overlapping, many_groups=True)
 
 
 def substring_counts(tagged: DataFrame, family: Family, overlapping: bool = False) -> DataFrame:

@@ -43,6 +43,7 @@ class Family:
     by_reference: bool = True  # is frequent-in-the-reference enough to keep a member
     partners: tuple[str, ...] | None = None  # keys its members may pair with; None is all
     known: tuple[str, ...] | None = None  # members given by the caller instead of found
+    record_id: str | None = None  # rows of one id count a member once
 
     @property
     def version_name(self) -> str:
@@ -90,8 +91,10 @@ def module_family(
     name: str = "module",
     partners: Sequence[str] | None = None,
     known: Iterable[str] | None = None,
+    record_id: str | None = None,
 ) -> Family:
-    """Members out of an array of file names; each counts once per row."""
+    """Members out of an array of file names; each counts once per row, or per record if rows can
+    share the id named by ``record_id``."""
     return Family(
         name=name,
         inputs=tuple(inputs),
@@ -101,6 +104,19 @@ def module_family(
         by_reference=False,
         partners=None if partners is None else tuple(partners),
         known=None if known is None else tuple(known),
+        record_id=record_id,
+    )
+
+
+def listed_family(column: str, name: str, label: str, by_reference: bool = True) -> Family:
+    """Members are the strings of an array column, as ``patterns.with_pattern_members`` adds one."""
+    return Family(
+        name=name,
+        inputs=(column,),
+        label=label,
+        present=lambda: F.array_distinct(F.array_compact(col(column))),
+        flag=lambda member: F.array_contains(col(column), member),
+        by_reference=by_reference,
     )
 
 
@@ -155,6 +171,10 @@ def member_column(family: Family) -> str:
     return f"@{family.name}"
 
 
+def record_column(family: Family) -> str:
+    return f"@{family.name}-record"
+
+
 def version_column(family: Family) -> str:
     return f"@{family.version_name}"
 
@@ -182,6 +202,8 @@ def derive_features(df: DataFrame, features: FeatureSet) -> tuple[DataFrame, tup
             members[member_column(family)] = F.transform(col(version_column(family)), lambda v: v["name"])
         else:
             added[member_column(family)] = F.coalesce(family.present(), F.array().cast("array<string>"))
+        if family.record_id in have:
+            added[record_column(family)] = col(family.record_id).cast("string")
     df = df.withColumns(added) if added else df
     df = df.withColumns(members) if members else df
     for old, new in features.renames:

@@ -13,6 +13,7 @@ from contrastmill.operators.features import (
     VERSION_SUFFIX,
     Family,
     member_column,
+    record_column,
     version_column,
 )
 from contrastmill.operators.groups import GROUP, POPULATION, col, with_reference_count
@@ -48,6 +49,7 @@ class Slot:
     vtype: str
     family: str | None = None
     key: str | None = None
+    record: str | None = None  # rows that agree in this column count an item once
 
 
 @dataclass(frozen=True)
@@ -73,7 +75,8 @@ class Layout:
         for family in sorted(found, key=lambda f: f.partners is not None):
             if family.versions is not None:
                 slots.append(("versions", version_column(family), "str", family.version_name, None))
-            slots.append(("members", member_column(family), "bool", family.name, None))
+            record = record_column(family)
+            slots.append(("members", member_column(family), "bool", family.name, None, record if record in df.columns else None))
         return Layout(tuple(Slot(i + 1, *s) for i, s in enumerate(slots)), tuple(families))
 
     @property
@@ -117,19 +120,33 @@ def item_rows(tagged: DataFrame, layout: Layout) -> DataFrame:
     return tagged.select(POPULATION, GROUP, F.inline(item_array(layout)))
 
 
+def _record_items(tagged: DataFrame, layout: Layout) -> DataFrame:
+    """Items with the record they count once in, null where every row counts."""
+    records = {s.kid: s.record for s in layout.slots if s.record is not None}
+    held = F.struct(*[col(r).alias(f"r{k}") for k, r in records.items()])
+    rows = tagged.select(POPULATION, GROUP, held.alias("records"), F.inline(item_array(layout)))
+    record = F.coalesce(*[F.when(F.col("kid") == k, F.col("records")[f"r{k}"]) for k in records])
+    return rows.withColumn("record", record).drop("records")
+
+
 def item_counts(
     tagged: DataFrame, layout: Layout, overlapping: bool = False, many_groups: bool = False
 ) -> DataFrame:
     """Occurrences of every item, null values included, per group and in the reference.
 
     Scalars and all families are counted in the same scan. Partial aggregation runs before the
-    shuffle, so what crosses it is one row per task, item and group, however often it occurs.
+    shuffle, so what crosses it is one row per task, item and group, however often it occurs. Items
+    of a slot with a record id are counted in two levels of the same scan, a record once; rows
+    without an id count each.
     """
-    counts = (
-        item_rows(tagged, layout)
-        .groupBy(POPULATION, *ITEM, GROUP)
-        .agg(F.count(F.lit(1)).alias("count_group"))
-    )
+    if any(s.record is not None for s in layout.slots):
+        item = [POPULATION, *ITEM, GROUP]
+        first = _record_items(tagged, layout).groupBy(*item, "record").agg(F.count(F.lit(1)).alias("rows"))
+        once = F.when(F.col("record").isNull(), F.col("rows")).otherwise(1)
+        counts = first.groupBy(*item).agg(F.sum(once).alias("count_group"))
+    else:
+        rows = item_rows(tagged, layout)
+        counts = rows.groupBy(POPULATION, *ITEM, GROUP).agg(F.count(F.lit(1)).alias("count_group"))
     return describe_items(with_reference_count(counts, [POPULATION, *ITEM], overlapping, many_groups), layout)
 
 
@@ -179,6 +196,28 @@ def zero_fill(reference: DataFrame, groups: DataFrame, keys: Sequence[str], name
     )
 
 
+def sparse_zero_fill(
+    reference: DataFrame, groups: DataFrame, keys: Sequence[str], totals: DataFrame, min_support: float
+) -> DataFrame:
+    """Counts of both sides next to each other, with zeros only where one side can pass.
+
+    ``totals`` is ``g, total_group, total_reference``. An item that a group does not count gets a
+    zero there only if its support in the reference reaches ``min_support``; all that a group counts
+    stays. So the rows are those counted and, for each group, the few items that are frequent in the
+    reference, instead of every item for every group.
+    """
+    sizes = totals.select(GROUP, "total_reference").distinct()
+    least = sizes.agg(F.min(F.col("total_reference") * min_support).alias("least"))
+    frequent = reference.join(least, F.col("count_reference") >= F.col("least"), "left_semi")
+    needed = F.col("count_reference") >= F.col("total_reference") * min_support
+    zeros = frequent.join(sizes, needed).select(*keys, GROUP, F.lit(0).cast("bigint").alias("count_group"))
+    own = groups.select(*keys, GROUP, "count_group").unionByName(zeros)
+    own = own.groupBy(*keys, GROUP).agg(F.sum("count_group").alias("count_group"))
+    r = reference.select("count_reference", *[F.col(k).alias(f"__{k}") for k in keys])
+    filled = own.join(r, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left")
+    return filled.select(*keys, GROUP, "count_group", F.coalesce("count_reference", F.lit(0)).alias("count_reference"))
+
+
 def grouped_support(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """Join the totals and divide."""
     return counts.join(totals, [POPULATION, GROUP]).withColumns(

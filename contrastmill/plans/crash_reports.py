@@ -96,7 +96,8 @@ def crash_features(
     families = (
         addon_family("addons", known=known_addons),
         module_family(
-            scalars.module_names(c("json_dump.modules.list")), ("json_dump",), partners=MODULE_PARTNERS
+            scalars.module_names(c("json_dump.modules.list")), ("json_dump",), partners=MODULE_PARTNERS,
+            record_id="uuid",
         ),
         text_family("app_notes", app_notes, "app_note", '"%s" in app_notes', known_app_notes),
         text_family("graphics_critical_error", gfx_errors, "gfx_error", 'GFX_ERROR "%s"', known_gfx_errors),

@@ -1,3 +1,5 @@
+import collections
+import itertools
 import random
 
 import pytest
@@ -6,8 +8,8 @@ from pyspark.sql import functions as F
 
 from catalog import queries
 from catalog.oracle import SQL, STOP_WORDS
-from contrastmill.operators import discovery, groups, items, pairs, priors, reports, words
-from contrastmill.operators.features import addon_family, module_family
+from contrastmill.operators import bitmaps, discovery, groups, items, numbering, pairs, patterns, priors, reports, words
+from contrastmill.operators.features import FeatureSet, addon_family, derive_features, listed_family, module_family
 from contrastmill.operators.items import Layout
 from contrastmill.sinks import results
 from contrastmill.sources import dictionaries, records, versions
@@ -185,3 +187,97 @@ def test_word_queries_keep_differences_of_the_default(spark):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({SQL['find_deviations_families']})").fetchall()
     assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+
+
+def test_pattern_index_of_a_large_dictionary(spark):
+    rng = random.Random(9)
+    letters = "abcdeé \n"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 5, 80, 900]))) for _ in range(160)] + [None, "", "ab", "a" * 2000]
+    strings = {"".join(rng.choice(letters) for _ in range(rng.choice([3, 4, 5, 6, 9, 12]))) for _ in range(50_000)}
+    strings |= {"a", "é", "ab", " \n", "zz", "a" * 700, texts[5][:300] or "x", "(.*)", "\\d+"} | {t[i : i + 20] for t in texts if t for i in range(0, len(t), 300)}
+    rows = [(rng.choice("xy"), t) for t in texts]
+    df = spark.createDataFrame([(i, g, t, "clash", 0) for i, (g, t) in enumerate(rows)], "id int, g string, text string, pattern string, `row` int")
+    dictionary = spark.createDataFrame([(s,) for s in sorted(strings)] + [("ab",), (None,)], "pattern string")
+    hits = [(g, s) for g, t in rows if t is not None for s in strings if s in t]
+    counts = patterns.pattern_counts(groups.with_population(df), "text", dictionary)
+    own, total = collections.Counter(hits), collections.Counter(s for _, s in hits)
+    assert {(r.g, r.member): (r.count_group, r.count_reference) for r in counts.collect()} == {k: (n, total[k[1]]) for k, n in own.items()}
+    few = spark.createDataFrame([("",), ("ab",), ("a" * 700,)], "pattern string")
+    found = patterns.with_pattern_members(df, "text", few, "members")
+    assert found.columns == [*df.columns, "members"]
+    want = {i: None if t is None else sorted(s for s in ("", "ab", "a" * 700) if s in t) for i, (_, t) in enumerate(rows)}
+    assert {r.id: r.members for r in found.collect()} == want
+    none = patterns.with_pattern_members(df, "text", few.limit(0), "members").where("size(members) > 0")
+    assert none.count() == 0
+    family = listed_family("members", "note", '"%s"')
+    tagged, families = derive_features(groups.with_population(found).drop("id", "row", "pattern"), FeatureSet(families=(family,), drop=("text", "members")))
+    counted = items.item_counts(tagged, Layout.of(tagged, families))
+    expected = collections.Counter((g, s) for g, t in rows if t is not None for s in ("", "ab", "a" * 700) if s in t)
+    assert {(r.g, r.name): r.count_group for r in counted.collect()} == dict(expected)
+
+
+def test_ranks_and_row_numbers(spark):
+    rng = random.Random(4)
+    pairs_ = {(rng.choice(["a", "b", None]), rng.choice([None, *map(str, range(400))])) for _ in range(900)}
+    df = spark.createDataFrame(sorted(pairs_, key=repr), "scope string, value string").repartition(7)
+    want = {}
+    for scope in ("a", "b", None):
+        own = sorted((v for s, v in pairs_ if s == scope), key=lambda v: (v is not None, v or ""))
+        want |= {(scope, v): i for i, v in enumerate(own, 1)}
+    for n in ("2", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        assert {(r.scope, r.value): r.rank for r in numbering.rank_within(df, ["scope"], ["value"], "rank").collect()} == want
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert numbering.rank_within(df.limit(0), ["scope"], ["value"], "rank").count() == 0
+    one, other = (numbering.with_row_number(x, "n") for x in (df, df.orderBy("value").repartition(7, "scope", "value")))
+    assert one.select("n").distinct().count() == other.select("n").distinct().count() == len(pairs_)
+
+
+def test_records_count_once_in_the_job(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("xy"), rng.choice(["u1", "u2", "u3", None]), [m for m in "abc" if rng.random() < 0.5] * 2, rng.choice("pq")) for _ in range(60)]
+    df = groups.with_population(spark.createDataFrame(rows, "g string, id string, modules array<string>, kind string"))
+    features = FeatureSet(families=(module_family(F.col("modules"), ("modules",), record_id="id"),), drop=("modules", "id"))
+    tagged, families = derive_features(df, features)
+    got = {(r.g, r.key, r.value): r.count_group for r in items.item_counts(tagged, Layout.of(tagged, families)).collect()}
+    want = collections.Counter((g, "kind", k) for g, _, _, k in rows)
+    seen = {(g, i, m) for g, i, ms, _ in rows for m in ms if i is not None}
+    want += collections.Counter((g, m, "true") for g, _, m in seen)
+    want += collections.Counter((g, m, "true") for g, i, ms, _ in rows for m in set(ms) if i is None)
+    assert got == dict(want)
+    alone = discovery.module_counts(df.where("id is not null"), features.families[0], record_id="id").collect()
+    assert {(r.g, r.member): r.count_group for r in alone} == dict(collections.Counter((g, m) for g, _, m in seen))
+
+
+@pytest.mark.parametrize("overlapping", [False, True])
+def test_bitmaps_against_enumeration(spark, monkeypatch, overlapping):
+    rng = random.Random(12)
+    rows = [(rng.choice(["p", "q"]), rng.choice(["x", "y", None]), sorted({rng.randrange(40) for _ in range(rng.randrange(12))} | ({99} if i % 50 else set()))) for i in range(700)]
+    wanted = {(p, g, lo, hi) for p in "pq" for g in "xy" for lo in (0, 3, 7, 99) for hi in range(40) if rng.random() < 0.6}
+    wanted = {(p, g, min(a, b), max(a, b)) for p, g, a, b in wanted if a != b} | {("p", "x", 500, 501), ("none", "x", 1, 2)}
+    own, total = collections.Counter(), collections.Counter()
+    for p, g, ids in rows:
+        for lo, hi in itertools.combinations(ids, 2):
+            if (p, g, lo, hi) in wanted:
+                own[p, g, lo, hi] += 1
+            if g is None or not overlapping:
+                total[p, lo, hi] += 1
+    total = {k: n for k, n in total.items() if k in {(p, lo, hi) for p, _, lo, hi in wanted}}
+    occurrences = [(p, g, 1000 * (i // 300) + i, item) for i, (p, g, ids) in enumerate(rows) for item in ids]
+    rng.shuffle(occurrences)
+    df = spark.createDataFrame(occurrences, "population string, g string, `row` long, item_id long")
+    candidates = spark.createDataFrame(sorted(wanted), "population string, g string, lo long, hi long")
+    for held, bits in ((1 << 20, 15), (150, 7)):
+        monkeypatch.setattr(bitmaps, "HELD", held)
+        monkeypatch.setattr(bitmaps, "BLOCK_BITS", bits)
+        got = bitmaps.count_pairs(bitmaps.row_bitmaps(df), candidates, overlapping).collect()
+        assert {(r.population, r.g, r.lo, r.hi): r.n for r in got if not r.reference} == dict(own)
+        assert {(r.population, r.lo, r.hi): r.n for r in got if r.reference} == total
+
+
+def test_sparse_zero_fill(spark):
+    ref = spark.createDataFrame([("a", None, 9), ("a", "1", 2), ("b", "2", 7)], "key string, value string, count_reference bigint")
+    own = spark.createDataFrame([("a", None, "x", 4), ("b", "2", "y", 7)], "key string, value string, g string, count_group bigint")
+    totals = spark.createDataFrame([("x", 5, 20), ("y", 8, 20)], "g string, total_group bigint, total_reference bigint")
+    got = {tuple(r) for r in items.sparse_zero_fill(ref, own, ["key", "value"], totals, 0.4).collect()}
+    assert got == {("a", None, "x", 4, 9), ("a", None, "y", 0, 9), ("b", "2", "y", 7, 7)}
