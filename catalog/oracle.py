@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalog.roles import AS_OF, DOC_EDGES, PATTERNS, WORD_EDGES
+from catalog.roles import AS_OF, CROSSED_EDGES, DOC_EDGES, PATTERNS, WORD_EDGES
 
 SQL: dict[str, str] = {}
 LOW = 0.05
@@ -254,13 +254,13 @@ rules AS (
          CAST(b.prior_cr AS BIGINT) AS prior_total_reference,
          s.key AS k1, s.value AS v1, s.vtype AS t1, CAST(NULL AS VARCHAR) AS k2, CAST(NULL AS VARCHAR) AS v2,
          CAST(NULL AS VARCHAR) AS t2, s.family AS f1, s.name AS m1, CAST(NULL AS VARCHAR) AS f2,
-         CAST(NULL AS VARCHAR) AS m2
+         CAST(NULL AS VARCHAR) AS m2, b.prior_family
   FROM singles s LEFT JOIN best b ON b.g = s.g AND b.other_id = s.id
   WHERE NOT EXISTS (SELECT 1 FROM gone x WHERE x.g = s.g AND x.id = s.id)
   UNION ALL
   SELECT g, 2, {pair_of()}, NULL, NULL, NULL, NULL, NULL, cg, cr, tg, tr, chi, phi, NULL, NULL, NULL, NULL, NULL,
          NULL, NULL, NULL, lo_key, lo_value, lo_vtype, hi_key, hi_value, hi_vtype, lo_family, lo_name,
-         hi_family, hi_name
+         hi_family, hi_name, NULL
   FROM pair_rules
 )"""
 
@@ -653,10 +653,66 @@ SELECT g, row_number() OVER (PARTITION BY g ORDER BY n,
   || CASE WHEN prior IS NULL THEN '' ELSE ' [' || {percent("prior_count_group / prior_total_group")} || '% vs '
   || {percent("prior_count_reference / prior_total_reference")} || '% given '
   || {shown("prior_key", "prior_value", "prior_vtype")} || ']' END AS line FROM shown"""
+
+CROSSED_KINDS = {
+    "kind": "str", "parity": "str", "price": "str", "morning": "bool", "rating": "num", "place": "str", "mood": "str", "day": "date",
+}
+CROSSED = """docs AS (
+  SELECT event_id AS rid, event_type || CASE WHEN (parity = 'even') = (price = 'dear') THEN '/agree' ELSE '/differ' END AS g,
+    event_type AS kind, parity, price, hour(ts) < 12 AS morning,
+    CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN 7 ELSE user_id % 5 END AS rating,
+    CASE WHEN event_type IN ('click', 'view') AND k < 60 THEN 'screen' ELSE 'other' END AS place,
+    CASE WHEN event_type = 'error' AND k < 70 OR parity = 'even' AND k < 50 THEN 'up' ELSE 'down' END AS mood,
+    CASE WHEN event_type = 'signup' THEN DATE '2024-01-01' ELSE CAST(ts AS DATE) END AS day
+  FROM (SELECT *, CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS parity, CASE WHEN value > 35 THEN 'dear' ELSE 'cheap' END AS price
+        FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)))"""
+
+
+def crossed_job() -> str:
+    body = job(0.15, "SELECT g, rid FROM docs", unpivot("docs", CROSSED_KINDS), CROSSED_EDGES)
+    return f"WITH RECURSIVE {CROSSED}, {body}"
+
+
+SQL["find_deviations_crossed"] = f"{crossed_job()} {RULES}"
+_PLACES = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CROSSED_KINDS))
+CROSSED_ORDER = ORDERED.replace(ORDER, _PLACES)
+SQL["deviation_report_crossed"] = SQL["deviation_report"].replace(doc_job(), crossed_job()).replace(ORDERED, CROSSED_ORDER)
+
+
+def typed(v: str, t: str) -> str:
+    return f"CASE {t} WHEN 'null' THEN 'null' WHEN 'str' THEN to_json({v})::VARCHAR WHEN 'date' THEN to_json({v})::VARCHAR ELSE {v} END"
+
+
+def json_object(*fields: tuple[str, str]) -> str:
+    """An object out of label and value expressions, keys in order."""
+    entries = ", ".join(f"{{'k': {k}, 'v': to_json({k})::VARCHAR || ':' || {v}}}" for k, v in fields)
+    return f"'{{' || array_to_string(list_transform(list_sort([{entries}]), lambda e: e.v), ',') || '}}'"
+
+
+def written(rules: str, label1: str, label2: str, prior_label: str) -> str:
+    one = json_object((label1, typed("v1", "t1")))
+    two = json_object((label1, typed("v1", "t1")), (label2, typed("v2", "t2")))
+    prior = json_object((prior_label, typed("prior_value", "prior_vtype")))
+    return f"""SELECT *, CASE WHEN n = 1 THEN {one} ELSE {two} END AS item,
+  CASE WHEN prior IS NULL THEN 'null' ELSE '{{"count_group":' || prior_count_group || ',"count_reference":' || prior_count_reference
+    || ',"item":' || {prior} || ',"total_group":' || prior_total_group || ',"total_reference":' || prior_total_reference || '}}' END AS prior_text,
+  row_number() OVER (PARTITION BY g ORDER BY n, -abs(cr / tr - cg / tg), item_text) AS place FROM ({rules})"""
+
+
+SQL["write_group_results_text"] = f"""{crossed_job()}, {CROSSED_ORDER}, {TEXT}
+SELECT g, sha1(g) AS key, CAST(tg AS VARCHAR) AS total, place, item, prior_text AS prior, {COUNTS} FROM ({written("SELECT * FROM shown", "k1", "k2", "prior_key")})"""
+_NAMED = DISPLAY.replace("family", "f1").replace("name", "m1").replace("ELSE key", "ELSE k1")
+_PRIOR_NAME = """CASE prior_family WHEN 'addon' THEN 'Addon "' || prior_key || '"' WHEN 'module' THEN 'Module "' || prior_key || '"'
+  WHEN 'text' THEN '"' || prior_key || '" in text' ELSE prior_key END"""
+SQL["write_related_groups_text"] = f"""{word_job()}, named AS (
+  SELECT *, {_NAMED} AS l1 FROM ({RELATED})), labelled AS (
+  SELECT *, {shown("l1", "v1", "t1")} AS item_text FROM named)
+SELECT g, CAST(tg AS VARCHAR) AS total, place, item, prior_text AS prior, {COUNTS} FROM ({written("SELECT * FROM labelled", "l1", "k2", _PRIOR_NAME)})"""
 SQL["support_chart_table"] = f"""{doc_job()}, {ORDERED}, {TEXT}
 SELECT g, row_number() OVER (PARTITION BY g ORDER BY n DESC, printf('%.2f', abs(cr / tr - cg / tg))::DOUBLE,
   printf('%.2f', cr / tr)::DOUBLE, item_text) AS position, item_text AS label, round(cg / tg * 100, 6) AS percent_group,
   round(cr / tr * 100, 6) AS percent_reference FROM shown"""
+SQL["support_chart_crossed"] = SQL["support_chart_table"].replace(doc_job(), crossed_job()).replace(ORDERED, CROSSED_ORDER)
 
 # -- words -------------------------------------------------------------------------------------
 

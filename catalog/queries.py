@@ -138,11 +138,46 @@ def write_totals(spark, sf):
 def write_related_groups(spark, sf):
     found = _word_rules(spark, sf)
     path = _target(spark)
-    results.write_related_groups(reports.addon_related_groups(found), path)
+    results.write_related_groups(found, path)
     back = spark.read.schema("population string, g string, total bigint, addons array<string>").json(path)
     return back.select("g", "total", F.size("addons").cast("bigint").alias("rules"))
 
 
+def _written_rules(spark, path: str, field: str, *more: str) -> DataFrame:
+    """The files as they are, a row for each rule of a list, objects as text."""
+    whole = F.parse_json(F.col("value")).alias("whole")
+    lines = spark.read.text(path).select(F.variant_get(whole, "$.g", "string").alias("g"), whole)
+    rules_ = lines.select("g", *[F.variant_get("whole", f"$.{c}", "string").alias(c) for c in more],
+                          F.posexplode(F.variant_get("whole", f"$.{field}", "array<variant>")).alias("place", "rule"))
+    text = lambda c: F.to_json(F.variant_get("rule", f"$.{c}", "variant")).alias(c)
+    return rules_.select("g", *more, (F.col("place") + 1).cast("bigint").alias("place"), text("item"), text("prior"),
+                         *[F.variant_get("rule", f"$.{c}", "bigint").alias(c) for c in COUNTS])
+
+
+def _crossed_rules(spark, sf):
+    found = find_deviations(
+        roles.crossed_records(spark, sf), group_column="cross", features=FeatureSet(edges=roles.CROSSED_EDGES)
+    )
+    return found, materialize(reports.label_items(found.rules))
+
+
+@query
+def write_group_results_text(spark, sf):
+    """The files of the groups, every rule of them with its place in the list, as written."""
+    found, labelled = _crossed_rules(spark, sf)
+    path = _target(spark)
+    results.write_group_results(labelled, found.totals, path)
+    return _written_rules(spark, path, "results", "key", "total")
+
+
+@query
+def write_related_groups_text(spark, sf):
+    """The file of groups related to add-ons, every rule of it with its prior, as written."""
+    path = _target(spark)
+    results.write_related_groups(_word_rules(spark, sf), path)
+    return _written_rules(spark, path, "addons", "total")
+
+
 @query
 def overwrite_publish(spark, sf):
     tagged = records.assign_channels(roles.event_records(spark, sf), roles.channels(spark, sf))
@@ -844,10 +879,31 @@ def deviation_report(spark, sf):
     return report.select("g", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
+@query
+def find_deviations_crossed(spark, sf):
+    """The job on attributes of every type, with pairs, priors and missing values among the rules."""
+    return rules_out(_crossed_rules(spark, sf)[0].rules)
+
+
+@query
+def deviation_report_crossed(spark, sf):
+    _, labelled = _crossed_rules(spark, sf)
+    return reports.deviation_report(labelled).select("g", F.col("line_no").cast("bigint").alias("line_no"), "line")
+
+
+@query
+def support_chart_crossed(spark, sf):
+    _, labelled = _crossed_rules(spark, sf)
+    return _chart_out(reports.support_chart_table(labelled))
+
+
 @query
 def support_chart_table(spark, sf):
     _, labelled = _doc_rules(spark, sf)
-    chart = reports.support_chart_table(labelled)
+    return _chart_out(reports.support_chart_table(labelled))
+
+
+def _chart_out(chart):
     return chart.select(
         "g", F.col("position").cast("bigint").alias("position"), "label",
         r6("percent_group").alias("percent_group"), r6("percent_reference").alias("percent_reference"),

@@ -117,6 +117,33 @@ def event_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# What may explain what among the crossed attributes.
+CROSSED_EDGES = (("kind", "place"), ("parity", "mood"), ("rating", "day"))
+
+
+def crossed_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with attributes of every type, grouped by whether two of them agree, so that neither
+    alone but both together tell groups apart."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = spread(spark, sf, "events").withColumns(
+        {
+            "k": k, "parity": F.when(k % 2 == 0, "even").otherwise("odd"),
+            "price": F.when(F.col("value") > 35, "dear").otherwise("cheap"),
+        }
+    )
+    kind, place = F.col("event_type"), F.col("k") < 60
+    agree = (F.col("parity") == "even") == (F.col("price") == "dear")
+    up = ((kind == "error") & (F.col("k") < 70)) | ((F.col("parity") == "even") & (F.col("k") < 50))
+    return rows.select(
+        F.concat(kind, F.when(agree, "/agree").otherwise("/differ")).alias("cross"),
+        kind.alias("kind"), "parity", "price", (F.hour("ts") < 12).alias("morning"),
+        F.when(kind == "view", None).when(kind == "click", 7).otherwise(F.col("user_id") % 5).alias("rating"),
+        F.when(kind.isin("click", "view") & place, "screen").otherwise("other").alias("place"),
+        F.when(up, "up").otherwise("down").alias("mood"),
+        F.when(kind == "signup", F.lit("2024-01-01").cast("date")).otherwise(F.to_date("ts")).alias("day"),
+    )
+
+
 def channels(spark: SparkSession, sf: str) -> DataFrame:
     """Weeks as channels; the last two weeks are one channel, and the fourth is in two."""
     versions = event_records(spark, sf).select("version").distinct()

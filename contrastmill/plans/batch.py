@@ -30,7 +30,7 @@ class BatchResult:
         """Publish everything under ``path``, replacing what was there."""
         results.write_group_results(self.rules, self.deviations.totals, f"{path}/groups", self.top_words)
         results.write_totals(self.sizes, date, f"{path}/all")
-        results.write_related_groups(self.related, f"{path}/addon_related")
+        results.write_related_groups(self.rules, f"{path}/addon_related")
 
 
 def batch_by_channel(
