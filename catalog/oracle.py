@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalog.roles import AS_OF, CROSSED_EDGES, DOC_EDGES, PATTERNS, WORD_EDGES
+from catalog.roles import AS_OF, CROSSED_EDGES, DOC_EDGES, PATTERNS, REPORT_EDGES, WORD_EDGES
 
 SQL: dict[str, str] = {}
 LOW = 0.05
@@ -779,3 +779,47 @@ SELECT '{channel}|' || g AS g, item1, item2, cg AS count_group, cr AS count_refe
 SQL["batch_by_channel"] = " UNION ALL ".join(
     f"SELECT * FROM {channel_job(c)}" for c in ("week-v0", "week-v1", "week-v2", "week-v3", "late")
 )
+
+
+def report_job(channel: str, versions: str) -> str:
+    """All outputs of one channel of the reports."""
+    rows = WORD_ROWS[: WORD_ROWS.index(",\ntotals AS")].replace("FROM documents", "FROM docs").replace("doc_id AS rid, lang AS g", "rid, g")
+    head = f"""reports AS (
+  SELECT *, DATE '2024-01-01' + CAST(doc_id % 31 AS INTEGER) AS crash_date, lang || '/' || ((doc_id // 7) % 3) AS signature,
+    n_chars > 2000 AS long, CASE WHEN n_chars < 500 THEN 'small' WHEN n_chars < 4000 THEN 'medium' ELSE 'large' END AS size
+  FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 4 IN ({versions})),
+docs AS (SELECT doc_id AS rid, signature AS g, * FROM reports WHERE crash_date >= DATE '{AS_OF}' - 20),
+asked AS (SELECT g FROM docs WHERE crash_date >= DATE '{AS_OF}' - 19 GROUP BY g ORDER BY count(*) DESC, g LIMIT 3),
+{rows}"""
+    items = WORD_ITEMS[: WORD_ITEMS.index("UNION ALL\nSELECT DISTINCT rid, w")] + "UNION ALL " + unpivot("docs", {"long": "bool", "size": "str"})
+    body = job(0.15, "SELECT g, rid FROM docs WHERE g IN (FROM asked)", items, REPORT_EDGES, discovered=("addon",))
+    raw = RAW.replace("SELECT source AS g, text FROM documents WHERE lang", f"SELECT signature AS g, text FROM reports WHERE crash_date >= DATE '{AS_OF}' - 30 AND lang")
+    raw = raw.replace("stats AS", "word_stats AS")
+    one, two = (f"{DISPLAY}".replace("family", f"f{i}").replace("name", f"m{i}").replace("ELSE key", f"ELSE k{i}") for i in (1, 2))
+    prior = "CASE prior_family WHEN 'addon' THEN 'Addon \"' || prior_key || '\"' ELSE prior_key END"
+    related = "n = 1 AND family IN ('addon', 'addon-version') AND cg / tg > cr / tr"
+    nothing = ", ".join(["CAST(NULL AS BIGINT)"] * 4)
+    return f"""(WITH RECURSIVE {head}, {body}, {raw}, texts AS (
+  SELECT *, CASE WHEN n = 1 THEN {shown("l1", "v1", "t1")}
+    ELSE least({shown("l1", "v1", "t1")}, {shown("l2", "v2", "t2")}) || ' ∧ ' || greatest({shown("l1", "v1", "t1")}, {shown("l2", "v2", "t2")}) END AS text
+  FROM (SELECT *, {one} AS l1, {two} AS l2 FROM rules)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY n, abs(cr / tr - cg / tg) DESC, text) AS place,
+    CASE WHEN prior IS NOT NULL THEN {shown(f"({prior})", "prior_value", "prior_vtype")} END AS prior_shown FROM texts
+), ranked AS (
+  SELECT g, row_number() OVER (PARTITION BY g ORDER BY tf * idf DESC, corpus_tf DESC, word) AS rank, word
+  FROM kept JOIN word_stats USING (word) WHERE g IN (FROM asked) QUALIFY rank <= 10
+), figures AS (
+  SELECT kind, g, place, text, cg AS count_group, cr AS count_reference, tg AS total_group, CAST(tr AS BIGINT) AS total_reference,
+    prior_shown AS prior, prior_count_group, prior_count_reference, prior_total_group, prior_total_reference
+  FROM placed, (VALUES ('rule'), ('related')) AS v(kind) WHERE kind = 'rule' OR ({related})
+)
+SELECT '{channel}' AS population, * FROM figures
+UNION ALL SELECT '{channel}', 'size', NULL, NULL, NULL, NULL, NULL, NULL, count(*), NULL, {nothing} FROM docs
+UNION ALL SELECT '{channel}', 'group', g, NULL, NULL, NULL, NULL, tg, CAST(tr AS BIGINT), NULL, {nothing} FROM totals
+UNION ALL SELECT '{channel}', 'word', g, rank, word, NULL, NULL, NULL, NULL, NULL, {nothing} FROM ranked)"""
+
+
+SQL["batch_all_outputs"] = " UNION ALL ".join(
+    f"SELECT * FROM {report_job(c, v)}" for c, v in (("even", "0, 2"), ("odd", "1, 3"), ("mixed", "1, 2"))
+)

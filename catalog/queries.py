@@ -932,6 +932,18 @@ def batch_by_channel_(spark, sf):
     return flat.select("g", "item1", "item2", *COUNTS, *TOTALS, "chi2", "phi")
 
 
+@query
+def batch_all_outputs(spark, sf):
+    """All channels in one job, with add-ons and comments: sizes, groups, rules with priors, related
+    groups and words."""
+    batch = batch_by_channel(
+        roles.report_records(spark, sf), roles.report_channels(spark, sf), group_column="signature", as_of=AS_OF,
+        product="desktop", days=20, word_days=30, number=3, features=roles.report_features(), stem=False,
+    )
+    out = batch.rows()
+    return out.withColumn("place", F.col("place").cast("bigint"))
+
+
 # -- words -------------------------------------------------------------------------------------
 
 

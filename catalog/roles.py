@@ -152,6 +152,37 @@ def channels(spark: SparkSession, sf: str) -> DataFrame:
     return versions.select(F.explode(names).alias("population"), "version")
 
 
+def report_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as reports with a product, a version, a date, add-ons and a comment."""
+    i, n = F.col("doc_id"), F.col("n_chars")
+    return spread(spark, sf, "documents").select(
+        "doc_id", F.when(i % 10 == 0, "tablet").otherwise("desktop").alias("product"),
+        F.concat(F.lit("v"), (i % 4).cast("string")).alias("version"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (i % 31).cast("int")).alias("crash_date"),
+        F.concat("lang", F.lit("/"), (F.floor(i / 7) % 3).cast("string")).alias("signature"),
+        F.col("lang").alias("useragent_locale"), F.col("text").alias("user_comments"), addon_entries().alias("addons"),
+        (n > 2000).alias("long"), F.when(n < 500, "small").when(n < 4000, "medium").otherwise("large").alias("size"),
+    )
+
+
+def report_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions are a channel; the third channel has one of each."""
+    versions = report_records(spark, sf).select("version").distinct()
+    v = F.col("version")
+    names = F.array_compact(F.array(F.when(v.isin("v0", "v2"), "even").otherwise("odd"), F.when(v.isin("v1", "v2"), "mixed")))
+    return versions.select(F.explode(names).alias("population"), "version")
+
+
+REPORT_EDGES = (("long", "@addon"), ("size", "@addon"), ("size", "long"))
+
+
+def report_features() -> FeatureSet:
+    return FeatureSet(
+        families=(WORD_ADDONS,), edges=REPORT_EDGES,
+        drop=("doc_id", "product", "version", "crash_date", "useragent_locale", "user_comments", "addons"),
+    )
+
+
 def part_versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Current versions and release history of every brand."""
     part = table(spark, sf, "part")

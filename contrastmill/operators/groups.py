@@ -127,5 +127,10 @@ def top_groups(df: DataFrame, column: str, number: int) -> DataFrame:
         .groupBy(POPULATION, col(column).cast("string").alias(GROUP))
         .agg(F.count(F.lit(1)).alias("total_group"))
     )
+    return rank_groups(counted, number)
+
+
+def rank_groups(counted: DataFrame, number: int) -> DataFrame:
+    """The same out of ``population, g, total_group``."""
     order = Window.partitionBy(POPULATION).orderBy(F.desc("total_group"), F.asc(GROUP))
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= number)

@@ -117,7 +117,7 @@ def percentage(share: Column) -> Column:
     return F.when(text == "100.00", "100.0").otherwise(F.lpad(text, F.greatest(F.length(text), F.lit(5)), "0"))
 
 
-def _differences() -> tuple[Column, Column, Column]:
+def differences() -> tuple[Column, Column, Column]:
     group = F.col("count_group") / F.col("total_group")
     reference = F.col("count_reference") / F.col("total_reference")
     return group, reference, F.abs(reference - group)
@@ -125,7 +125,7 @@ def _differences() -> tuple[Column, Column, Column]:
 
 def deviation_report(rules: DataFrame, reference_name: str = "overall") -> DataFrame:
     """One line per rule: single items by difference first, then pairs by rounded difference."""
-    group, reference, difference = _differences()
+    group, reference, difference = differences()
     items = F.size("items")
     single = items == 1
     given = F.concat(
@@ -148,7 +148,7 @@ def deviation_report(rules: DataFrame, reference_name: str = "overall") -> DataF
 
 def support_chart_table(rules: DataFrame) -> DataFrame:
     """Bars of a support chart in drawing order."""
-    group, reference, difference = _differences()
+    group, reference, difference = differences()
     rows = rules.select(
         *RULE, item_text(F.col("items")).alias("label"),
         (reference * 100).alias("percent_reference"), (group * 100).alias("percent_group"),
@@ -160,7 +160,7 @@ def support_chart_table(rules: DataFrame) -> DataFrame:
 
 def addon_related_rules(rules: DataFrame, word: str = "Addon") -> DataFrame:
     """Single-item rules about an add-on that is more frequent in the group."""
-    group, reference, _ = _differences()
+    group, reference, _ = differences()
     about = F.get("items", F.lit(0))["label"].contains(word)
     return rules.where((F.size("items") == 1) & about & (group > reference))
 

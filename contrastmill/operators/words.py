@@ -21,8 +21,13 @@ _BLANK = f"[{_BLANKS}]"
 
 def filter_comments(df: DataFrame, comment: str, locale: str | None = None, language: str = "en") -> DataFrame:
     """Rows with a comment, in the language or without a known one."""
-    df = df.where(col(comment).isNotNull())
-    return df if locale is None else df.where(col(locale).isNull() | col(locale).startswith(language))
+    return df.where(is_comment(comment, locale, language))
+
+
+def is_comment(comment: str, locale: str | None = None, language: str = "en") -> Column:
+    """Does a row have a comment, in the language or without a known one."""
+    there = col(comment).isNotNull()
+    return there if locale is None else there & (col(locale).isNull() | col(locale).startswith(language))
 
 
 def tokenize(text: Column) -> Column:
@@ -112,7 +117,14 @@ def top_words(
     them, so a word every group uses is met by few rows.
     """
     comments = group_by_equality(filter_comments(records, comment, locale), group_column)
-    counts = materialize(term_counts(comments, comment, stem, stop))
+    return rank_counted(term_counts(comments, comment, stem, stop), comments, names, number)
+
+
+def rank_counted(
+    counts: DataFrame, comments: DataFrame, names: Sequence[str] | DataFrame | None = None, number: int = 10
+) -> DataFrame:
+    """The same out of ``term_counts`` and a table with the groups that have comments."""
+    counts = materialize(counts)
     idf = inverse_doc_frequency(counts, comments)
     wanted = counts
     if isinstance(names, DataFrame):

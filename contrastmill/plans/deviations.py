@@ -127,9 +127,10 @@ def mine(
     settings: Settings,
     overlapping: bool,
     many_groups: bool = False,
+    totals: DataFrame | None = None,
 ) -> Deviations:
-    """Run the job on a tagged feature table."""
-    totals = materialize(grouping.group_totals(tagged, overlapping))
+    """Run the job on a tagged feature table; ``totals`` are counted unless they are known."""
+    totals = materialize(grouping.group_totals(tagged, overlapping) if totals is None else totals)
     large, small = grouping.min_group_filter(totals, settings.min_count)
     level1 = materialize(
         surviving_items(tagged, layout, large, settings, overlapping, features.only_true, many_groups)
