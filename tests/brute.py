@@ -4,7 +4,61 @@ import itertools
 import math
 from collections import Counter, defaultdict
 
-from contrastmill.functions.stats import exact_two_sided
+TIE = 1e-7
+
+
+def log_choose(n, k):
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+
+def exact_two_sided(a: int, b: int, c: int, d: int) -> float:
+    """Probability of all tables with these margins that are no likelier than this one.
+
+    The table probabilities rise to one mode and fall again, so the tables wanted form two
+    tails. Each is summed from its inner end outwards and left when the terms no longer
+    count, so the cost follows the spread of the distribution and not the size of the margins.
+    """
+    row, column, n = a + b, a + c, a + b + c + d
+    low, high = max(0, row + column - n), min(row, column)
+    base = log_choose(n, column)
+
+    def log_p(x):
+        return log_choose(row, x) + log_choose(n - row, column - x) - base
+
+    limit = log_p(a) + TIE
+    mode = min(max((row + 1) * (column + 1) // (n + 2), low), high)
+    if log_p(mode) <= limit:
+        return 1.0
+
+    def inner_end(outer, step):
+        """Innermost table of one tail that is still no likelier than the one seen."""
+        if log_p(outer) > limit:
+            return None
+        near, far = mode, outer
+        while abs(near - far) > 1:
+            middle = (near + far) // 2
+            if log_p(middle) <= limit:
+                far = middle
+            else:
+                near = middle
+        return far
+
+    total = 0.0
+    for outer, step in ((low, -1), (high, 1)):
+        x = inner_end(outer, step)
+        if x is None:
+            continue
+        term = math.exp(log_p(x))
+        while term > 0.0:
+            total += term
+            if x == outer or term < total * 1e-17:
+                break
+            if step > 0:
+                term *= (row - x) * (column - x) / ((x + 1) * (n - row - column + x + 1))
+            else:
+                term *= x * (n - row - column + x) / ((row - x + 1) * (column - x + 1))
+            x += step
+    return min(total, 1.0)
 
 
 def chi2(a, b, c, d):

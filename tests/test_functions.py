@@ -48,8 +48,13 @@ def test_fisher_against_fractions(spark):
     cells = [tuple(rng.randrange(0, 40) for _ in range(4)) for _ in range(300)]
     cells += [(0, 0, 0, 0), (5, 0, 0, 5), (1, 0, 0, 0), (300, 250, 200, 330)]
     df = table(spark, cells, "a long, b long, c long, d long")
-    for row in df.withColumn("p", stats.fisher_exact(*(F.col(x) for x in "abcd"))).collect():
-        assert row.p == pytest.approx(brute_fisher(row.a, row.b, row.c, row.d), rel=1e-7), row
+    cols = [F.col(x) for x in "abcd"]
+    levels = [0.9, 0.05, 1e-3, 1e-6]
+    tests = [stats.fisher_at_most(*cols, F.lit(x)).alias(f"at_{i}") for i, x in enumerate(levels)]
+    for row in df.select(*cols, stats.fisher_exact(*cols).alias("p"), *tests).collect():
+        want = brute_fisher(row.a, row.b, row.c, row.d)
+        assert row.p == pytest.approx(want, rel=1e-7), row
+        assert [row[f"at_{i}"] for i in range(len(levels))] == [want <= x for x in levels], row
 
 
 def test_fisher_tables_and_large_margins(spark):
@@ -64,6 +69,42 @@ def test_fisher_tables_and_large_margins(spark):
     assert 0 <= out[1].c < 1e-6
 
 
+def ratio_fisher(a, b, c, d, spread=45.0):
+    """Chances relative to the mode by ratios of neighbours, as far as they count."""
+    r, k, n = a + b, a + c, a + b + c + d
+    low, high = max(0, r + k - n), min(r, k)
+    mode = min(max((r + 1) * (k + 1) // (n + 2), low), high)
+    weight, all_ = {mode: 1.0}, 1.0
+    for step in (1, -1):
+        x, w = mode, 1.0
+        while low <= x + step <= high and w > 1e-40:
+            w *= (r - x) * (k - x) / ((x + 1) * (n - r - k + x + 1)) if step > 0 else x * (n - r - k + x) / ((r - x + 1) * (k - x + 1))
+            x += step
+            weight[x] = w
+            all_ += w
+    seen = weight.get(a)
+    return 0.0 if seen is None else sum(sorted(w for w in weight.values() if w <= seen * (1 + 1e-7))) / math.fsum(weight.values())
+
+
+def test_fisher_of_a_thousand_million(spark):
+    """Margins up to 1e9: rare cells against exact fractions, broad distributions against ratios."""
+    rare = [(a, 20 - a, c, 10**9 - 20 - c) for a in (0, 1, 3, 9) for c in (0, 5, 40)]
+    rare += [(2, 10**9 - 300, 7, 12), (5, 3, 10**9 - 400, 30)]
+    broad = [(250_010_000 + i, 249_990_000, 249_990_000, 250_010_000) for i in (-9_000, 0, 3_000, -20_000)]
+    broad += [(1_000, 999_000, 998_400, 997_001_600), (30_500, 469_500, 60_000_000, 939_470_000), (7, 1_000_000, 6_999_000, 992_000_993)]
+    df = table(spark, rare + broad, "a long, b long, c long, d long")
+    got = {tuple(r)[:4]: r.p for r in df.withColumn("p", stats.fisher_exact(*(F.col(x) for x in "abcd"))).collect()}
+    for cells in rare:
+        a, b, c, d = cells
+        small = min(a + b, a + c, c + d, b + d)
+        rows = [a, b, c, d] if small == a + b else [a, c, b, d] if small == a + c else [c, d, a, b] if small == c + d else [b, d, a, c]
+        assert got[cells] == pytest.approx(brute_fisher(*rows), rel=1e-9), cells
+    for cells in broad:
+        assert got[cells] == pytest.approx(ratio_fisher(*cells), rel=1e-6, abs=1e-15), cells
+    nulls = table(spark, [(None, 1, 2, 3), (1, -1, 2, 3)], "a long, b long, c long, d long")
+    assert [r.p for r in nulls.select(stats.fisher_exact(*(F.col(x) for x in "abcd")).alias("p")).collect()] == [None, None]
+
+
 def test_driver_version(spark):
     rows = [
         ("0x8086", "8.15.10.2712", "2712"), ("0x10de", "8.15.11.8593", "185.93"), ("0x10de", "93", ".93"),
