@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from catalog.roles import AS_OF, CROSSED_EDGES, DOC_EDGES, PATTERNS, REPORT_EDGES, WORD_EDGES
+from contrastmill.functions import stemming
 
 SQL: dict[str, str] = {}
 LOW = 0.05
@@ -823,3 +824,81 @@ UNION ALL SELECT '{channel}', 'word', g, rank, word, NULL, NULL, NULL, NULL, NUL
 SQL["batch_all_outputs"] = " UNION ALL ".join(
     f"SELECT * FROM {report_job(c, v)}" for c, v in (("even", "0, 2"), ("odd", "1, 3"), ("mixed", "1, 2"))
 )
+
+
+# -- stems ---------------------------------------------------------------------------------------
+#
+# The steps of the stemmer as layers of queries over a vocabulary; its word lists and suffix tables
+# are the published ones, which the column expression reads too.
+
+_ENDS_SHORT = "([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+
+
+def _suffix(endings) -> str:
+    return f"regexp_extract(w, '({'|'.join(endings)})$', 1)"
+
+
+def _stem_step(name: str, source: str, endings, cases: str) -> str:
+    """A layer that knows the longest ending ``s`` of ``w``, what is before it, and how much that is."""
+    return f"""{name} AS (SELECT * EXCLUDE (s, stem, n) REPLACE (CASE WHEN done THEN w ELSE {cases} END AS w) FROM (
+  SELECT *, left(w, length(w) - length(s)) AS stem, length(w) - length(s) AS n FROM (SELECT *, {_suffix(endings)} AS s FROM {source})))"""
+
+
+def _swap(table: dict[str, str]) -> str:
+    return "CASE s " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items()) + " END"
+
+
+def stems(vocabulary: str) -> str:
+    """Common table expressions that end in ``stems(word, stem)`` of the words of ``vocabulary``."""
+
+    def region(text: str) -> str:
+        head = f"regexp_extract({text}, '(?s)^(.*?[aeiouy][^aeiouy])', 1)"
+        return f"CASE WHEN {head} = '' THEN length({text}) ELSE length({head}) END"
+
+    whole = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in stemming.WHOLE_WORDS.items())
+    kept = ", ".join(f"'{w}'" for w in stemming.KEPT_AFTER_PLURAL)
+    mended = f"""CASE WHEN regexp_matches(stem, '(at|bl|iz)$') THEN stem || 'e'
+    WHEN regexp_matches(stem, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(stem, n - 1)
+    WHEN r1 >= n AND regexp_matches(stem, '{_ENDS_SHORT}') THEN stem || 'e' ELSE stem END"""
+    layers = [
+        f"stem_words AS (SELECT DISTINCT word, lower(word) AS l FROM {vocabulary})",
+        """stem_marked AS (SELECT word, l, regexp_replace(regexp_replace(regexp_replace(l, '^''', ''), '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w
+  FROM stem_words)""",
+        f"""stem_regions AS (SELECT *, r1 + ({region("substr(w, r1 + 1)")}) AS r2, false AS done FROM (
+  SELECT *, CASE WHEN regexp_matches(w, '^(gener|commun|arsen)') THEN length(regexp_extract(w, '^(gener|commun|arsen)', 1)) ELSE {region("w")} END AS r1
+  FROM stem_marked))""",
+        "stem_owner AS (SELECT * REPLACE (regexp_replace(w, '(''s''|''s|'')$', '') AS w) FROM stem_regions)",
+        _stem_step("stem_plural", "stem_owner", ("sses", "ied", "ies", "us", "ss", "s"),
+                   "CASE WHEN s = 'sses' THEN stem || 'ss' WHEN s IN ('ied', 'ies') THEN stem || CASE WHEN n > 1 THEN 'i' ELSE 'ie' END "
+                   "WHEN s = 's' AND regexp_matches(w, '[aeiouy].+s$') THEN stem ELSE w END"),
+        f"stem_kept AS (SELECT * REPLACE (w IN ({kept}) AS done) FROM stem_plural)",
+        _stem_step("stem_past", "stem_kept", ("eedly", "ingly", "edly", "eed", "ing", "ed"),
+                   "CASE WHEN s IN ('eed', 'eedly') THEN CASE WHEN n >= r1 THEN stem || 'ee' ELSE w END "
+                   f"WHEN s <> '' AND regexp_matches(stem, '[aeiouy]') THEN {mended} ELSE w END"),
+        "stem_y AS (SELECT * REPLACE (CASE WHEN done THEN w ELSE regexp_replace(w, '^(.+[^aeiouy])[yY]$', '\\1i') END AS w) FROM stem_past)",
+        _stem_step("stem_two", "stem_y", stemming.STEP2,
+                   "CASE WHEN n >= r1 AND CASE s WHEN 'li' THEN regexp_matches(stem, '[cdeghkmnrt]$') WHEN 'ogi' THEN ends_with(stem, 'l') ELSE s <> '' END "
+                   f"THEN stem || {_swap(stemming.STEP2)} ELSE w END"),
+        _stem_step("stem_three", "stem_two", stemming.STEP3,
+                   f"CASE WHEN n >= r1 AND CASE s WHEN 'ative' THEN n >= r2 ELSE s <> '' END THEN stem || {_swap(stemming.STEP3)} ELSE w END"),
+        _stem_step("stem_four", "stem_three", stemming.STEP4,
+                   "CASE WHEN n >= r2 AND CASE s WHEN 'ion' THEN regexp_matches(stem, '[st]$') ELSE s <> '' END THEN stem ELSE w END"),
+        _stem_step("stem_five", "stem_four", ("e", "l"),
+                   f"CASE WHEN s = 'e' AND (n >= r2 OR (n >= r1 AND NOT regexp_matches(stem, '{_ENDS_SHORT}'))) THEN stem "
+                   "WHEN s = 'l' AND n >= r2 AND ends_with(stem, 'l') THEN stem ELSE w END"),
+        f"""stems AS (SELECT word, CASE WHEN length(l) <= 2 THEN l ELSE CASE l {whole} ELSE replace(w, 'Y', 'y') END END AS stem FROM stem_five)""",
+    ]
+    return ",\n".join(layers)
+
+
+def stemmed_words(comments: str) -> str:
+    """``RAW`` with stems, over another table of comments."""
+    raw = RAW[RAW.index("raw AS") :].replace("clean AS", f"{stems('raw')},\nclean AS", 1)
+    raw = raw.replace("regexp_replace(word,", "regexp_replace(stem,").replace("AS word, tf FROM raw)", "AS word, tf FROM raw JOIN stems USING (word))")
+    return f"comments AS ({comments}),\n{raw}"
+
+
+SQL["clean_words_stemmed"] = f"""WITH {stemmed_words("SELECT source AS g, text FROM documents WHERE lang LIKE 'en%'")} SELECT g, word, tf FROM clean"""
+SQL["top_words_stemmed"] = f"""WITH {stemmed_words("SELECT role AS g, text FROM conversations")} SELECT g, row_number() OVER (
+  PARTITION BY g ORDER BY tf * idf DESC, corpus_tf DESC, word) AS rank, word, tf, round(tf * idf, 6) AS tfidf
+FROM kept JOIN stats USING (word) QUALIFY rank <= 10"""

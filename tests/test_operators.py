@@ -1,5 +1,6 @@
 import collections
 import itertools
+import json
 import random
 
 import pytest
@@ -281,3 +282,57 @@ def test_sparse_zero_fill(spark):
     totals = spark.createDataFrame([("x", 5, 20), ("y", 8, 20)], "g string, total_group bigint, total_reference bigint")
     got = {tuple(r) for r in items.sparse_zero_fill(ref, own, ["key", "value"], totals, 0.4).collect()}
     assert got == {("a", None, "x", 4, 9), ("a", None, "y", 0, 9), ("b", "2", "y", 7, 7)}
+
+
+def test_stems_of_expression_and_sql_agree(spark):
+    """The column expression and the layers of SQL read the same tables but are written apart."""
+    import duckdb
+
+    from catalog.oracle import stems
+    from contrastmill.functions.stemming import STEP2, STEP3, STEP4, WHOLE_WORDS, stem
+
+    rng = random.Random(8)
+    heads = ["relat", "hop", "hopp", "gener", "commun", "arsen", "y", "say", "boy", "cr", "tr", "e", "'a", "bee", "controll", "fluent", "éc", "ye", "skat"]
+    tails = ["", "s", "'s", "'s'", "ies", "ied", "sses", "us", "ed", "eed", "eedly", "ingly", "ing", "y", "ly", "e", "ll", "ative", "ion", "sion", *STEP2, *STEP3, *STEP4]
+    listed = {h + m + t for h in heads for m in ("", "iz", "at", "tt") for t in tails} | set(WHOLE_WORDS) | {"innings", "proceeds", "Exceed", "of", "I"}
+    listed |= {"".join(rng.choice("aeiouybdlst'") for _ in range(rng.randrange(1, 9))) for _ in range(3000)}
+    mine = {r.word: r.stem for r in spark.createDataFrame([(w,) for w in sorted(listed)], "word string").withColumn("stem", stem(F.col("word"))).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE vocabulary (word VARCHAR)")
+    con.executemany("INSERT INTO vocabulary VALUES (?)", [(w,) for w in sorted(listed)])
+    theirs = dict(con.execute(f"WITH {stems('vocabulary')} SELECT word, stem FROM stems").fetchall())
+    assert {w: (mine[w], theirs[w]) for w in listed if mine[w] != theirs[w]} == {}
+
+
+def test_result_files_are_stated_whole(spark, tmp_path):
+    """The same text from differently dealt rows, a null prior included."""
+    item = "struct<key:string,value:string,vtype:string,family:string,name:string,label:string>"
+    figures = "count_group bigint, count_reference bigint, total_group bigint, total_reference bigint"
+    prior = f"struct<item:{item},count_reference:bigint,count_group:bigint,total_reference:bigint,total_group:bigint>"
+    def make(key, value, kind):
+        return (key, value, kind, None, None, f"the {key}")
+    a, b, c = make("a", "1", "num"), make("b", None, "null"), make("c", "x\"y", "str")
+    found = [
+        ("p", "g1", [a, b], 5, 6, 10, 100, None), ("p", "g1", [c], 5, 60, 10, 100, (a, 50, 4, 70, 9)), ("p", "g1", [a], 9, 10, 10, 100, None),
+        ("p", "g1", [b], 5, 60, 10, 100, None), ("p", "g2", [make("b", "true", "bool")], 1, 2, 3, 4, None),
+    ]
+    schema = f"population string, g string, items array<{item}>, {figures}, prior {prior}"
+    totals = spark.createDataFrame([("p", "g1", 10, 100), ("p", "g2", 3, 100), ("p", "g3", 8, 100)], "population string, g string, total_group bigint, total_reference bigint")
+    texts = set()
+    for turn in range(3):
+        rules = spark.createDataFrame(found[turn:] + found[:turn], schema).repartition(turn + 1)
+        path = str(tmp_path / f"out{turn}")
+        results.write_group_results(rules, totals, path)
+        texts.add(tuple(sorted(r.value for r in spark.read.text(path + "/population=p").collect())))
+    (lines,) = texts
+    docs = {d["g"]: d for d in map(json.loads, lines)}
+    one = lambda i, **more: {"item": i, **more}
+    assert docs["g1"]["results"] == [
+        one({"the a": 1}, count_reference=10, count_group=9, prior=None),
+        one({"the b": None}, count_reference=60, count_group=5, prior=None),
+        one({"the c": 'x"y'}, count_reference=60, count_group=5,
+            prior={"item": {"the a": 1}, "count_reference": 50, "count_group": 4, "total_reference": 70, "total_group": 9}),
+        one({"the a": 1, "the b": None}, count_reference=6, count_group=5, prior=None),
+    ]
+    assert docs["g2"]["results"] == [one({"the b": True}, count_reference=2, count_group=1, prior=None)]
+    assert docs["g3"]["results"] == [] and docs["g3"]["total"] == 8
