@@ -36,8 +36,8 @@ def with_features(batch: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), lists], [*names, "features"])
 
 
-def with_score(batch: pa.RecordBatch, scores: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+def with_score(batch: pa.RecordBatch, scores: np.ndarray, name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
 
 def scored_schema(docs: DataFrame, name: str) -> StructType:

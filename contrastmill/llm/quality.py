@@ -196,11 +196,11 @@ def fit(x: np.ndarray, y: np.ndarray, part: np.ndarray):
     return model
 
 
-def _score(model, vectors: np.ndarray):
+def _score(model, vectors: np.ndarray, name):
     def run(batches):
         both = with_index_vectors(vectors)
         for batch in batches:
-            yield with_score(batch, model.scores(feature_rows(batch.column("text"), both)))
+            yield with_score(batch, model.scores(feature_rows(batch.column("text"), both)), name)
 
     return run
 
@@ -214,7 +214,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, name
     vectors = word_vectors(docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_training_features(vectors), TRAINING)
     model = fit(*training_rows(rows, sample))
-    return docs.mapInArrow(_score(model, vectors), scored_schema(docs, name))
+    return docs.mapInArrow(_score(model, vectors, name), scored_schema(docs, name))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

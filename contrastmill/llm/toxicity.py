@@ -279,10 +279,10 @@ def fit(x: np.ndarray, y: np.ndarray, part: np.ndarray):
     return model
 
 
-def _score(model, given, learned, second):
+def _score(model, given, learned, second, name):
     def run(batches):
         for batch in batches:
-            yield with_score(batch, model.scores(feature_rows(batch.column("text"), given, learned, second)))
+            yield with_score(batch, model.scores(feature_rows(batch.column("text"), given, learned, second)), name)
 
     return run
 
@@ -299,7 +299,7 @@ def score_toxicity(
     *halves, learned = learned_lexicons(docs, chosen)
     rows = labelled_texts(docs, chosen).mapInArrow(_training_features(given, halves, second), TRAINING)
     model = fit(*training_rows(rows, sample))
-    return docs.mapInArrow(_score(model, given, learned, second), scored_schema(docs, name))
+    return docs.mapInArrow(_score(model, given, learned, second, name), scored_schema(docs, name))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

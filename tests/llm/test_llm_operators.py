@@ -326,3 +326,22 @@ def test_pipeline_stages(spark):
     assert mixed.columns == columns and 0 < mixed.select("doc_id").distinct().count() <= before
     assert last(spark, mixed, sf).count() == mixed.count()
     assert last(spark, mixing(spark, docs.limit(0), sf), sf).count() == 0
+
+
+def test_pipeline_stages_take_any_columns(spark):
+    """Columns that are named like the stages' own come through; nulls and repeats too."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    odd = spark.createDataFrame(AWKWARD, "doc_id long, text string")
+    docs = docs.unionByName(odd, allowMissingColumns=True)
+    quality, toxic, join, mixing, last = (f for _, f in corpus_pipeline.STAGES)
+    more = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in ("score", "score_", "_pipeline_score", "predicted", "position", "size", "words")})
+    for stage in (quality, toxic, join, mixing):
+        kept = stage(spark, more, sf)
+        assert kept.columns == more.columns
+        assert rows(kept.drop("text"), "doc_id", "score", "position") == rows(stage(spark, docs, sf).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in ("score", "position")}), "doc_id", "score", "position")
+    assert last(spark, more, sf).columns == ["doc_id", "ids", "n_pieces", "score"]
+    for stage in (quality, toxic, join, mixing):
+        assert stage(spark, more.limit(0), sf).count() == 0
