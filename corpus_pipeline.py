@@ -19,7 +19,6 @@ from contrastmill.llm.sentencepiece_scan import encode
 from contrastmill.llm.toxicity import score_toxicity
 from contrastmill.runtime import materialize
 
-SCORE = "_pipeline_score"
 MODEL = "piece_bpe_32k.model"
 
 
@@ -27,14 +26,22 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _judged(score, keep, spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose score is to be kept, with their own columns; the score has a name they do not have."""
+    name = "score"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return score(docs, _labels(spark, sf_dir), name=name).where(keep(F.col(name))).drop(name)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return score_quality(docs, _labels(spark, sf_dir), name=SCORE).where(F.col(SCORE) >= quality.THRESHOLD).drop(SCORE)
+    return _judged(score_quality, lambda score: score >= quality.THRESHOLD, spark, docs, sf_dir)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not flag."""
-    return score_toxicity(docs, _labels(spark, sf_dir), name=SCORE).where(F.col(SCORE) < toxicity.THRESHOLD).drop(SCORE)
+    return _judged(score_toxicity, lambda score: score < toxicity.THRESHOLD, spark, docs, sf_dir)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
