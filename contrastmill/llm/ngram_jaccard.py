@@ -9,14 +9,15 @@ Two nodes link when ``9 * |A and B| >= 4 * (|A| + |B|)``, the same as a Jaccard
 2. Prefix tokens of two nodes or more are the rows of the matrix. Every node with such a token
    first tries one link, to the node that most of its tokens point to (that with most copies).
    Large groups of near copies become one component by a number of comparisons linear in their size.
-3. Nodes are partitioned into groups of similar nodes: same first shared token, similar size, at
-   most about ``GROUP``. The matrix has, for a token and a group, whether a member could link by
-   it, and the range of sizes and components. A node queries the groups with its prefix: the number
-   of its tokens in the union of a group's prefixes bounds what it shares with each member, and
-   must reach the least that linked nodes have in both prefixes. Groups all of the node's own
-   component are left out, so what is connected is not compared again.
-4. Where the bound leaves a group, it is opened in a task, with others of the same first token: the union of the members' tokens bounds
-   the overlap of the query with each of them, and only a query that reaches the least overlap
+3. Nodes are partitioned into groups of similar nodes, at most about ``GROUP``: those of one component,
+   others by their first shared token, and of similar size. The matrix has, for a token and a group,
+   whether a member could link by it, and the range of sizes and components. Groups are held against
+   groups first: the tokens in the unions of both groups' prefixes bound what any two of their nodes
+   share. Only for pairs that this leaves do nodes query groups: the number of a node's tokens in the
+   union of a group's prefixes must reach the least that linked nodes have in both prefixes. Groups
+   all of the node's own component are left out, so what is connected is not compared again.
+4. Where the bound leaves a group, it is opened in a task, with others of the same component or token:
+   the union of the members' tokens bounds the overlap of the query with each of them, and only a query that reaches the least overlap
    needed meets the members. One link per query and component met is kept.
 
 Queries of a bundle of groups are dealt to chunks, so no task holds more than a bundle and a chunk. Null and
@@ -45,6 +46,7 @@ BUNDLE = 256
 SIZE_STEP = 1.05
 FILTER_BITS = 1 << 23
 CHUNK = 512
+SALT = 32
 SLICE_BYTES = 1 << 18
 
 
@@ -237,6 +239,18 @@ def _open(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
 
+def _with_parts(rows: DataFrame, keys: list[str], most: int, name: str) -> DataFrame:
+    """``rows`` with the number of parts of at most about ``most`` rows that their key has.
+
+    Only keys of more than one part are joined, and these by salted keys, so that a key that many
+    rows share is not met in one task.
+    """
+    large = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).alias(name)).where(F.col(name) > 1)
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))
+    large = large.withColumn("salt", F.explode(salts))
+    return rows.join(large, [*keys, "salt"], "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+
 def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id``, ``text``)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -281,14 +295,18 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
     # 3: groups and their matrix
     label = F.coalesce("label", "node").alias("component")
-    place = candidates.withColumn("scale", F.floor(F.log("n") / float(np.log(SIZE_STEP))))
-    many = place.groupBy("first", "scale").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("blocks"))
+    # Nodes of a component are similar and stand together, others by their first token.
+    place = candidates.join(first_labels, "node", "left").select(
+        "node", "n", "shared", label, F.coalesce("label", "first").alias("first"),
+        F.floor(F.log("n") / float(np.log(SIZE_STEP))).alias("scale"), F.pmod(F.xxhash64("node"), F.lit(SALT)).alias("salt"),
+    )
+    place = materialize(place)
+    placed = _with_parts(_with_parts(place, ["first", "scale"], GROUP, "blocks"), ["first"], BUNDLE, "bundles")
     group = F.xxhash64("first", "scale", F.pmod(F.xxhash64("node"), "blocks")).alias("group")
-    # groups with the same first token that are opened together
-    bundles = place.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / BUNDLE).alias("bundles"))
-    placed = place.join(many, ["first", "scale"]).join(bundles, "first").select("node", "first", "shared", "bundles", group)
+    # groups with the same key that are opened together
+    placed = placed.select("node", "first", "shared", "bundles", "component", group)
     bundle = F.xxhash64("first", F.pmod("group", "bundles")).alias("bundle")
-    member = materialize(placed.join(first_labels, "node", "left").select("node", "group", bundle, label, "shared"))
+    member = materialize(placed.select("node", "group", bundle, "component", "shared"))
     known = posts.select("token", "node", "n", "place").join(member, "node")
     matrix = known.groupBy("token", "group").agg(
         F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"),
@@ -299,9 +317,19 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     # of two linked nodes the smaller has at least size m, and so many tokens of both prefixes are common
     smaller = "greatest(n0, ceil(4 * n / 5))"
     needed = f"ceil(4 * (n + {smaller}) / 9) - ceil(4 * n / 5) + 1"
-    met = queries.join(matrix, "token").where(
-        f"n0 <= n and 5 * n1 >= 4 * n and least(shared, shared1) >= {needed} and (c0 <> c1 or c0 <> component) "
-        "and (group <> own or members > 1)"
+    # Groups against groups: what two groups' prefixes have in common bounds it for their nodes.
+    matrix = materialize(matrix)
+    asking = matrix.select("token", F.col("group").alias("own"), *[F.col(c).alias(f"q_{c}") for c in ("c0", "c1", "n0", "n1", "shared1")])
+    # the least of ``needed`` over queries of n from q_n0 to q_n1, rounded down
+    least_needed = "greatest(1, ceil(4 * n0 / 9 - 16 * least(q_n1, 1.25 * n0) / 45 + 0.199))"
+    both = materialize(asking.join(matrix, "token").where(
+        "n0 <= q_n1 and 5 * n1 >= 4 * q_n0 and (c0 <> c1 or q_c0 <> q_c1 or c0 <> q_c0) and (group <> own or members > 1) "
+        f"and least(q_shared1, shared1) >= {least_needed}"
+    ))
+    close = both.groupBy("own", "group").agg(F.count(F.lit(1)).alias("hits"), F.min(F.expr(least_needed)).alias("needed"))
+    opened = both.join(close.where("hits >= needed").select("own", "group"), ["own", "group"], "left_semi")
+    met = queries.join(opened, ["token", "own"]).where(
+        f"n0 <= n and 5 * n1 >= 4 * n and least(shared, shared1) >= {needed} and (c0 <> c1 or c0 <> component)"
     )
     # the first token that they share comes early in both
     early = F.expr(f"reach >= 4 * n and 5 * n - 9 * place >= 4 * {smaller}")
