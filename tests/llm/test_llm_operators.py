@@ -5,6 +5,7 @@ import hashlib
 import os
 import re
 import sys
+import time
 from zlib import crc32
 
 import numpy as np
@@ -17,7 +18,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from contrastmill.llm.components import components  # noqa: E402
 from contrastmill.llm.license_scan import TEMPLATES, license_matches  # noqa: E402
-from contrastmill.llm.main_text import main_texts  # noqa: E402
+from contrastmill.llm.main_text import Tree, article_nodes, density, main_text, main_texts  # noqa: E402
 from contrastmill.llm.mixing import mix, mixed_documents, targets  # noqa: E402
 from contrastmill.llm.nearest_neighbours import nearest_neighbours  # noqa: E402
 from contrastmill.llm.ngram_jaccard import jaccard_components  # noqa: E402
@@ -58,6 +59,74 @@ def test_main_text(spark):
     assert main_texts(df.limit(0)).count() == 0
 
 
+LONG = "<p>" + "An article has sentences that go on for a while and hold no links at all. " * 3 + "</p>"
+LINE = ("An article has sentences that go on for a while and hold no links at all. " * 3).strip()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class='content has-sidebar'><article>{LONG}</article></div>", LINE),
+        (f"<div class='page-sidebar'><main>{LONG}</main></div><div class='sidebar'>{LONG}</div>", LINE),
+        (f"<article>{LONG}<section id='discussion'><h2>Discussion</h2>{LONG}</section></article>", f"{LINE} Discussion {LINE}"),
+        (f"<article>{LONG}<p>So <math><mi>x</mi></math>.</p></article>", f"{LINE} So x."),
+        (f"<article>{LONG}<p class='alert'>Beware.</p><div class='share'><a>a</a><a>b</a></div></article>", LINE),
+        (f"<div><a>home</a><a>more</a></div><div><h1>T</h1>{LONG}{LONG}</div><div>Small print</div>", f"T {LINE} {LINE}"),
+        (f"<article>{LONG}</article><section class='comments'>{LONG * 5}</section>", LINE),
+        (f"<article>{LONG}</article><article class='comment'>{LONG}{LONG}</article>", LINE),
+        (f"<div class='sidebar'>{LONG}</div>", LINE),
+        (f"<div class='entry social-science'>{LONG}{LONG}</div>", f"{LINE} {LINE}"),
+        (f"<main><div>{LONG}{LONG}</div><div><a>x</a> <a>y</a></div></main>", f"{LINE} {LINE}"),
+    ],
+)
+def test_main_text_by_density(page, want):
+    assert main_text(f"<html><body>{page}</body></html>") == want
+
+
+def test_density_against_recursion():
+    """Sums of a random tree, and the core that they choose, by plain recursion."""
+    draw = np.random.default_rng(8)
+
+    def page(depth):
+        inner = "".join(page(depth - 1) for _ in range(draw.integers(0, 4))) if depth else ""
+        text = "word " * int(draw.integers(0, 40))
+        kind = draw.choice(["div", "section", "span", "a", "td"])
+        return f"<{kind}>{text}{inner}</{kind}>"
+
+    for _ in range(60):
+        tree = Tree(f"<body>{page(4)}{page(4)}</body>")
+        n = len(tree.tag)
+        children = [[c for c in range(n) if tree.parent[c] == i] for i in range(n)]
+
+        def measure(i, linked=False):
+            linked = linked or tree.tag[i] == "a"
+            c = sum(len(v.strip()) for j, v in tree.pieces if j == i and v)
+            parts = [measure(k, linked) for k in children[i]]
+            links = sum(p[3] + (tree.tag[k] == "a") for p, k in zip(parts, children[i]))
+            return c + sum(p[0] for p in parts), 1 + sum(p[1] for p in parts), c * linked + sum(p[2] for p in parts), links
+
+        parts = {}
+
+        def linked(i):
+            return i > 0 and (tree.tag[i] == "a" or linked(tree.parent[i]))
+
+        for i in range(n):
+            parts[i] = measure(i, linked(i))
+        body = parts[tree.tag.index("body")]
+        share = body[2] / max(1, body[0])
+        dense = [density(*parts[i], share) for i in range(n)]
+        sums = [sum(dense[c] for c in children[i]) for i in range(n)]
+        best = max(range(n), key=lambda i: (sums[i], dense[i]))
+        assert article_nodes(tree)[best]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000, "</b>" * 100_000, "<p>" + "<b>" * 100_000 + "</i>" * 100_000, "<li>" * 100_000, "<p title=\"x>y" * 20_000])
+def test_broken_pages_take_linear_time(page):
+    begin = time.process_time()
+    main_text(page)
+    assert time.process_time() - begin < 5
+
+
 def test_mixing(spark):
     data = [(i, prose(int(rng.integers(1, 60))), f"s{i % 7}") for i in range(200)] + [(i, t, None) for i, t in AWKWARD]
     df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
