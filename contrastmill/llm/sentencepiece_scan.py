@@ -1,22 +1,29 @@
-"""SentencePiece encoding and decoding with unigram scores, as a max-plus parallel scan.
-
-The encoding of a text is the segmentation into pieces with the largest sum of scores. A text is
-put behind one space, spaces count as the letter they stand for, and a character without a piece
-of its own costs ``UNKNOWN`` less than the worst piece and is written as its bytes.
+"""SentencePiece encoding and decoding with a merge model, as a max-plus parallel scan.
+
+The encoding of a text is what the library's merging gives: the pair whose piece has the best score
+first, the leftmost of several. The scan finds it without merging. Two neighbouring pieces are
+*compatible* if merging the text of both gives just these two; a segmentation whose neighbours are
+all compatible is the encoding, and there is one. So a path has the sum of its pieces' scores, and
+minus infinity if two neighbours are not compatible: in max-plus algebra the best path is the only
+finite one. Compatibility is decided by walking back in time from the boundary over the pieces that
+once met there; the pieces' merges, and which pieces merging yields at all, are found when the
+model is loaded. A text is put behind one space, spaces count as the letter they stand for (and that letter as a space, as in the library), and a
+character without a piece of its own is written as its bytes and costs ``UNKNOWN`` less than the
+worst piece.
 
 What does not depend on its neighbours is done once: no piece has a space after another character,
-so every optimal segmentation has a boundary where a space follows another character (and around
-characters that no piece has). The stretches between such places are encoded by one vectorised
-forward pass over the distinct stretches of a slice of text.
-
-A giant text is cut at any byte into chunks that go to different tasks. The state at a cut is how
-far the piece that spans it reaches beyond it. A chunk yields the matrix of best scores from each
-state at its beginning to each at its end; matrices combine associatively in max-plus algebra, a
-forward and backward scan over a document's matrices gives the state at each cut, and every chunk
-is then traced back on its own.
-
-Of segmentations with the same sum any may be returned; the sum is exact. Null and empty texts
-have no pieces. Repeated rows keep their own result rows.
+so there is a boundary where a space follows another character (and around characters that no piece
+has). The stretches between such places are encoded by one vectorised forward pass over the distinct
+stretches of a slice of text.
+
+A giant text is cut at any byte into chunks that go to different tasks. The states at a cut are the
+pieces that may cover the byte before it; both sides list them from the same bytes. A chunk yields
+the matrix of best scores from each state at its beginning to each at its end; matrices combine
+associatively, in rounds of ``FAN`` neighbours up and down again, which gives the state at each
+cut, and every chunk is then traced back on its own.
+
+Null and empty texts have no pieces. Repeated rows and repeated or null ids keep their own result
+rows; an empty table gives an empty one. Other columns of the input do not matter.
 """
 
 from __future__ import annotations
@@ -33,11 +40,17 @@ from contrastmill.runtime import materialize
 UNKNOWN = 10.0
 GIANT = 1 << 17
 CHUNK = 1 << 15
+FAN = 64
+NEVER = np.int64(1) << 40
 SPACE = 0x20
+SPACE_LETTER = "▁"
 
 
 class Pieces:
-    """The pieces of a model as bytes, in a table by hash; everything the encoder needs to know."""
+    """The pieces of a model as bytes, in a table by hash; everything the encoder needs to know.
+
+    Made once on the driver; its tables (a few MB, by the size of the vocabulary) go with the tasks.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
@@ -45,8 +58,9 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(model.get_piece_size())
         plain = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.text = {i: model.id_to_piece(i).replace("▁", " ").encode() for i in plain}
-        if any(b" " in p.lstrip(b" ") for p in self.text.values()):
+        texts = {i: model.id_to_piece(i).replace("▁", " ") for i in plain}
+        self.text = {i: t.encode() for i, t in texts.items()}
+        if any(" " in t.lstrip(" ") for t in texts.values()):
             raise ValueError(f"{path}: a piece has a space after another character")
         self.bytes = np.array([next((i for i in ids if model.is_byte(i) and model.id_to_piece(i) == f"<0x{b:02X}>"), -1) for b in range(256)])
         if (self.bytes < 0).any():
@@ -58,18 +72,102 @@ class Pieces:
         known = np.zeros(256, bool)
         known[list(set(b"".join(self.text.values())))] = True
         self.isolated = ~known  # bytes that no piece has
-        # open addressing by the top bits of the hash
-        self.bits = 20
+        self._learn_merges(path, texts)
+        valid = [i for i in plain if self.valid[i]]
+        # open addressing by the top bits of the hash, a quarter full at most
+        self.bits = max(4, len(valid).bit_length() + 2)
         self.keys, self.ids = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-        lengths = np.array([len(self.text[i]) for i in plain])
+        lengths = np.array([len(self.text[i]) for i in valid])
         self.has_length = np.bincount(lengths, minlength=self.longest + 1) > 0
-        for i in plain:
+        for i in valid:
             h = hash_of(self.text[i])
             slot = h >> (64 - self.bits)
             while self.ids[slot] >= 0:
                 slot = (slot + 1) & ((1 << self.bits) - 1)
             self.keys[slot], self.ids[slot] = h, i
 
+    def _learn_merges(self, path: str, texts: dict[int, str]) -> None:
+        """When and from which parts merging makes each piece, and all pairs that merge."""
+        size = len(self.scores)
+        many = [i for i, t in texts.items() if len(t) > 1]
+        blank = {i for i, t in texts.items() if not t.strip(" ")}
+        ranked = sorted(set(self.scores[many]), reverse=True)
+        rank_of_score = {x: r for r, x in enumerate(ranked)}
+        rank = {i: rank_of_score[self.scores[i]] for i in many}
+        words = [i for i in many if i not in blank]
+        if len({rank[i] for i in words}) != len(words) or any(texts[i].startswith("  ") for i in words):
+            raise ValueError(f"{path}: pieces of letters with equal scores or several spaces")
+        if words and min((rank[i] for i in many if i in blank), default=size) < max(rank[i] for i in words):
+            raise ValueError(f"{path}: runs of spaces are not merged last")
+        by_text = {t: i for i, t in texts.items()}
+
+        def merged(text: str) -> tuple[list[str], tuple[str, str] | None]:
+            """The pieces of a text, and the last merge."""
+            parts, last = list(text), None
+            while len(parts) > 1:
+                found = [rank.get(by_text.get(x + y), size) for x, y in zip(parts, parts[1:])]
+                best = min(found)
+                if best == size:
+                    break
+                at = found.index(best)
+                last = (parts[at], parts[at + 1])
+                parts[at : at + 2] = ["".join(last)]
+            return parts, last
+
+        self.valid = np.zeros(size, bool)
+        self.birth = np.full(size, -1, np.int64)
+        self.left, self.right = np.arange(size), np.arange(size)
+        for i, t in texts.items():
+            if len(t) == 1:
+                self.valid[i] = True
+                continue
+            parts, last = merged(t)
+            if len(parts) == 1:
+                self.valid[i] = True
+                self.birth[i] = rank[i]
+                self.left[i], self.right[i] = by_text[last[0]], by_text[last[1]]
+        pairs = {}
+        for i in many:
+            t = texts[i]
+            for cut in range(1, len(t)):
+                x, y = by_text.get(t[:cut]), by_text.get(t[cut:])
+                if x is not None and y is not None and self.valid[x] and self.valid[y]:
+                    pairs[x * size + y] = max(rank[i], int(self.birth[x]), int(self.birth[y]))
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        # runs of spaces merge from the left, whatever their lengths
+        runs = sorted(i for i in blank if self.valid[i])
+        self.blank = np.zeros(size, bool)
+        self.blank[runs] = True
+        self.blank_pairs = np.array(
+            [x * size + y for x in runs for y in runs if merged(texts[x] + texts[y])[0] == [texts[x], texts[y]]], np.int64
+        )
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging leaves ``a`` and ``b`` side by side (ids; -1: a character without a piece)."""
+        size = len(self.scores)
+        out = np.ones(len(a), bool)
+        at = np.flatnonzero((a >= 0) & (b >= 0))
+        a, b = a[at].astype(np.int64), b[at].astype(np.int64)
+        spaces = self.blank[a] & self.blank[b]
+        out[at[spaces]] = np.isin(a[spaces] * size + b[spaces], self.blank_pairs)
+        at, a, b = at[~spaces], a[~spaces], b[~spaces]
+        end_a, end_b = np.full(len(at), NEVER - 1), np.full(len(at), NEVER - 1)
+        while len(at) and len(self.pair_keys):
+            key = a * size + b
+            place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            rank = np.where(self.pair_keys[place] == key, self.pair_ranks[place], NEVER)
+            # the leftmost of equal merges comes first: the part of ``a`` is taken by then, that of ``b`` is not
+            hit = (rank < end_a) & (rank <= end_b)
+            out[at[hit]] = False
+            birth_a, birth_b = self.birth[a], self.birth[b]
+            back_a = birth_a > birth_b
+            end_a, end_b = np.where(back_a, birth_a, end_a), np.where(back_a, end_b, birth_b)
+            go = ~hit & ((birth_a >= 0) | (birth_b >= 0))
+            a, b = np.where(back_a, self.right[a], a), np.where(back_a, b, self.left[b])
+            at, a, b, end_a, end_b = at[go], a[go], b[go], end_a[go], end_b[go]
+        return out
+
     def spelling(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where the bytes of each id begin, how many they are, and the bytes of all."""
         of_byte = {int(i): bytes([b]) for b, i in enumerate(self.bytes)}
@@ -133,7 +231,7 @@ def cuts(data: np.ndarray, isolated: np.ndarray) -> np.ndarray:
 
 
 def segment(data: np.ndarray, begin: np.ndarray, end: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best segmentation of many stretches at once: ids of all, where each stretch's begin, scores.
+    """The one finite path through each of many stretches: ids of all, where each stretch's begin, scores.
 
     Stretches of about the same length advance together, byte by byte.
     """
@@ -169,6 +267,8 @@ def segment(data: np.ndarray, begin: np.ndarray, end: np.ndarray, pieces: Pieces
                 hit = piece >= 0
                 who, piece = who[hit], piece[hit]
                 single[np.flatnonzero(fits)[hit]] |= lead[fits][hit] == length
+                fits = pieces.compatible(by[t, who], piece) if t else np.ones(len(who), bool)
+                who, piece = who[fits], piece[fits]
                 value = best[t, who] + pieces.scores[piece]
                 better = value > best[t + length, who]
                 who, piece = who[better], piece[better]
@@ -257,9 +357,9 @@ def encode_rows(data: np.ndarray, at: np.ndarray, pieces: Pieces, known: Known)
     return out, total[rows], np.bincount(row, known.scores[place], len(at) - 1)
 
 
-def _encode(path: str):
+def _encode(pieces: Pieces):
     def run(batches):
-        pieces, known = Pieces(path), Known()
+        known = Known()
         for batch in batches:
             data, at = utf8(batch.column("spaced"))
             for first, last in slices(at, 4 << 20):
@@ -273,140 +373,214 @@ def _encode(path: str):
     return run
 
 
-def chunk_edges(data: np.ndarray, size: int, pieces: Pieces) -> list[list[tuple[int, int, float]]]:
-    """Of each position below ``size`` the pieces that may begin there: length, id (-1: bytes), score."""
-    hashes, n = Hashes(data), len(data)
-    edges: list[list[tuple[int, int, float]]] = [[] for _ in range(size)]
-    at = np.flatnonzero(starts_character(data[:size]))
-    single = np.zeros(size, bool)
-    lead = character_lengths(data[:size])
-    for length in range(1, pieces.longest + 1):
-        where = at[at + length <= n]
-        if not pieces.has_length[length] or not len(where):
-            continue
-        piece = pieces.find(hashes.of(where, where + length))
-        for p, i in zip(where[piece >= 0].tolist(), piece[piece >= 0].tolist()):
-            edges[p].append((length, i, pieces.scores[i]))
-            single[p] |= lead[p] == length
-    for p in at.tolist():
-        if not single[p]:
-            edges[p].append((int(lead[p]), -1, pieces.unknown))
-    return edges
-
-
-def chunk_paths(data: np.ndarray, size: int, pieces: Pieces, entries: range | list[int]):
-    """Best scores from each entry state to every position, with the edges taken.
-
-    ``data`` holds the chunk and what follows it, as far as a piece can reach.
+class Chunk:
+    """What may happen in a chunk and at its cuts.
+
+    ``data`` holds the ``lead`` bytes before the chunk, its ``size`` bytes and what follows, both as
+    far as a piece can reach. An edge is a place where a piece may stand: begin, end, id (-1: bytes).
     """
-    width = size + pieces.longest
-    best = np.full((width + 1, len(entries)), -np.inf)
-    for lane, state in enumerate(entries):
-        best[state, lane] = 0.0
-    back: list[list[tuple[int, int]] | None] = [None] * (width + 1)
-    taken = np.full((width + 1, len(entries)), -1, np.int32)
-    for p, out in enumerate(chunk_edges(data, size, pieces)):
-        for length, piece, score in out:
-            value = best[p] + score
-            q = p + length
-            better = value > best[q]
-            if better.any():
-                best[q] = np.where(better, value, best[q])
-                if back[q] is None:
-                    back[q] = []
-                taken[q, better] = len(back[q])
-                back[q].append((p, piece))
-    return best, back, taken
-
-
-def _matrices(path: str):
+
+    def __init__(self, data: np.ndarray, lead: int, size: int, pieces: Pieces):
+        self.data, self.begin, self.end, self.pieces = data, lead, lead + size, pieces
+        hashes, n = Hashes(data), len(data)
+        at = np.flatnonzero(starts_character(data[: self.end]))
+        wide = character_lengths(data[at])
+        single = np.zeros(len(at), bool)
+        found = []
+        for length in np.flatnonzero(pieces.has_length).tolist():
+            fits = np.flatnonzero(at + length <= n)
+            piece = pieces.find(hashes.of(at[fits], at[fits] + length))
+            fits, piece = fits[piece >= 0], piece[piece >= 0]
+            single[fits] |= wide[fits] == length
+            found.append((at[fits], at[fits] + length, piece))
+        bare = ~single & (at + wide <= n)
+        found.append((at[bare], at[bare] + wide[bare], np.full(int(bare.sum()), -1)))
+        start, stop, piece = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((stop, start))
+        self.start, self.stop, self.piece = start[order], stop[order], piece[order].astype(np.int64)
+        self.entries = self.states(self.begin) if lead else np.array([-1])
+        self.exits = self.states(self.end) if n > self.end else np.flatnonzero(self.stop == n)
+
+    def states(self, cut: int) -> np.ndarray:
+        """Edges that cover the byte before a cut, in an order that both sides of it share."""
+        reach = self.pieces.longest
+        return np.flatnonzero((self.start < cut) & (self.start >= cut - reach) & (self.stop >= cut))
+
+    def walk(self, entries: np.ndarray):
+        """Best scores from each of some entries to each edge, and the edges before each edge."""
+        own = np.flatnonzero(self.start >= self.begin)
+        by_stop = np.argsort(self.stop, kind="stable")
+        stops = self.stop[by_stop]
+        low, high = np.searchsorted(stops, self.start[own]), np.searchsorted(stops, self.start[own], "right")
+        count = high - low
+        after = np.repeat(own, count)
+        inner = np.arange(len(after)) - np.repeat(np.cumsum(count) - count, count)
+        before = by_stop[np.repeat(low, count) + inner]
+        fits = self.pieces.compatible(self.piece[before], self.piece[after])
+        before, after = before[fits], after[fits]
+        first = np.searchsorted(after, own)
+        last = np.searchsorted(after, own, "right")
+        value: dict[int, np.ndarray] = {}
+        for lane, edge in enumerate(entries.tolist()):
+            if edge >= 0:
+                value[edge] = np.where(np.arange(len(entries)) == lane, 0.0, -np.inf)
+        cost = np.where(self.piece >= 0, self.pieces.scores[self.piece], self.pieces.unknown)
+        came: dict[int, list[int]] = {}
+        ends: dict[int, list[int]] = {}
+        done = 0
+        starts, before = self.start.tolist(), before.tolist()
+        stop = self.stop.tolist()
+        for edge, a, z in zip(own.tolist(), first.tolist(), last.tolist()):
+            here = [p for p in before[a:z] if p in value]
+            best = None
+            for p in here:
+                best = value[p] if best is None else np.maximum(best, value[p])
+            if starts[edge] == 0 and entries[0] < 0:
+                best = np.zeros(1)
+            if best is not None and best.max() > -np.inf:
+                value[edge], came[edge] = best + cost[edge], here
+                ends.setdefault(stop[edge], []).append(edge)
+            # what ends before this place, and is no state of the cut, is not needed any more
+            while done < starts[edge] and len(entries) > 1:
+                if done < self.end - 1:
+                    for old in ends.pop(done, ()):
+                        del value[old]
+                done += 1
+        return value, came
+
+    def matrix(self) -> np.ndarray:
+        value, _ = self.walk(self.entries)
+        nothing = np.full(len(self.entries), -np.inf)
+        return np.stack([value.get(e, nothing) for e in self.exits.tolist()], axis=1)
+
+    def trace(self, enter: int, leave: int) -> np.ndarray:
+        """Ids of the pieces that begin in the chunk on the path between two states."""
+        entry = self.entries[enter : enter + 1]
+        value, came = self.walk(entry)
+        edge, out = int(self.exits[leave]), []
+        while self.start[edge] >= self.begin:
+            piece = int(self.piece[edge])
+            spelled = self.data[self.start[edge] : self.stop[edge]]
+            out += [piece] if piece >= 0 else self.pieces.bytes[spelled][::-1].tolist()
+            if not came[edge]:
+                break
+            edge = max(came[edge], key=lambda p: value[p][0])
+        return np.array(out[::-1], np.int32)
+
+
+def packed(m: np.ndarray) -> bytes:
+    return np.array(m.shape, np.int64).tobytes() + m.astype(np.float64).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    shape = np.frombuffer(raw[:16], np.int64)
+    return np.frombuffer(raw[16:], np.float64).reshape(shape)
+
+
+def _matrices(pieces: Pieces):
     def run(frames):
-        pieces = Pieces(path)
         for frame in frames:
-            rows = []
-            for key, number, size, raw in zip(frame["key"], frame["number"], frame["size"], frame["data"]):
-                data = np.frombuffer(raw, np.uint8)
-                best, _, _ = chunk_paths(data, size, pieces, range(pieces.longest) if number else [0])
-                rows.append((key, number, best[size : size + pieces.longest].T.copy().tobytes()))
-            yield pd.DataFrame(rows, columns=["key", "number", "matrix"])
+            for r in frame.itertuples(index=False):
+                m = Chunk(np.frombuffer(r.data, np.uint8), r.lead, r.size, pieces).matrix()
+                yield pd.DataFrame({"key": [r.key], "number": [r.number], "matrix": [packed(m)]})
 
     return run
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product: the best way through two neighbouring parts."""
-    return (a[:, :, None] + b[None]).max(axis=1)
+    return np.stack([(row[:, None] + b).max(axis=0) for row in a])
+
+
+def _products(frame: pd.DataFrame) -> pd.DataFrame:
+    """The product of up to ``FAN`` neighbouring matrices."""
+    frame = frame.sort_values("number")
+    total = None
+    for raw in frame["matrix"]:
+        total = unpacked(raw) if total is None else combine(total, unpacked(raw))
+    return pd.DataFrame({"key": frame["key"][:1], "number": frame["number"][:1] // FAN, "matrix": [packed(total)]})
 
 
 def _states(frame: pd.DataFrame) -> pd.DataFrame:
-    """The state at the beginning and end of each chunk of one document, by a scan over its matrices."""
+    """The states around each of up to ``FAN`` neighbours, from those around all of them."""
     frame = frame.sort_values("number")
-    raw = [np.frombuffer(m, np.float64) for m in frame["matrix"]]
-    width = len(raw[0])
-    matrices = [m.reshape(-1, width) for m in raw]
-    ahead = [matrices[0]]
+    matrices = [unpacked(raw) for raw in frame["matrix"]]
+    ahead = [matrices[0][int(frame["from"].iloc[0])]]
     for m in matrices[1:]:
-        ahead.append(combine(ahead[-1], m))
-    state, ends = 0, []  # no piece reaches beyond the end of a text
-    for i in range(len(matrices) - 1, -1, -1):
-        ends.append(state)
-        if i:
-            state = int(np.argmax(ahead[i - 1][0] + matrices[i][:, state]))
-    ends = ends[::-1]
-    return pd.DataFrame(
-        {"key": frame["key"], "number": frame["number"], "enter": [0, *ends[:-1]], "leave": ends, "score": float(ahead[-1][0, 0])}
-    )
-
-
-def _trace_chunks(path: str):
+        ahead.append((ahead[-1][:, None] + m).max(axis=0))
+    state = int(frame["to"].iloc[0])
+    leave = [state]
+    for i in range(len(matrices) - 1, 0, -1):
+        state = int(np.argmax(ahead[i - 1] + matrices[i][:, state]))
+        leave.append(state)
+    leave = leave[::-1]
+    return pd.DataFrame({"key": frame["key"], "number": frame["number"], "enter": [int(frame["from"].iloc[0]), *leave[:-1]], "leave": leave})
+
+
+def _whole(frames):
+    """Of the matrix of a whole document its score and last state; no piece reaches beyond the end."""
+    for frame in frames:
+        ends = [unpacked(raw)[0] for raw in frame["matrix"]]
+        yield pd.DataFrame({"key": frame["key"], "number": 0, "enter": 0, "leave": [int(e.argmax()) for e in ends], "score": [float(e.max()) for e in ends]})
+
+
+def chunk_states(matrices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key, number, enter, leave`` of every chunk and ``key, score`` of every document."""
+    levels = [matrices]
+    while levels[-1].agg(F.max("number")).first()[0] > 0:
+        group = (F.col("number") / FAN).cast("long")
+        levels.append(materialize(levels[-1].groupBy("key", group.alias("__group")).applyInPandas(_products, "key string, number long, matrix binary")))
+    whole = materialize(levels[-1].mapInPandas(_whole, "key string, number long, enter int, leave int, score double"))
+    states = whole.drop("score")
+    for level in levels[-2::-1]:
+        above = states.select("key", F.col("number").alias("__group"), F.col("enter").alias("from"), F.col("leave").alias("to"))
+        inside = level.withColumn("__group", (F.col("number") / FAN).cast("long")).join(above, ["key", "__group"])
+        states = materialize(inside.groupBy("key", "__group").applyInPandas(_states, "key string, number long, enter int, leave int"))
+    return states, whole.select("key", "score")
+
+
+def _trace_chunks(pieces: Pieces):
     def run(frames):
-        pieces = Pieces(path)
         for frame in frames:
-            rows = []
             for r in frame.itertuples(index=False):
-                data = np.frombuffer(r.data, np.uint8)
-                _, back, taken = chunk_paths(data, r.size, pieces, [r.enter])
-                at, out = r.size + r.leave, []
-                while at > r.enter:
-                    p, piece = back[at][taken[at, 0]]
-                    out += [piece] if piece >= 0 else pieces.bytes[data[p:at]][::-1].tolist()
-                    at = p
-                rows.append((r.key, r.number, np.array(out[::-1], np.int32), r.score))
-            yield pd.DataFrame(rows, columns=["key", "number", "ids", "score"])
+                ids = Chunk(np.frombuffer(r.data, np.uint8), r.lead, r.size, pieces).trace(r.enter, r.leave)
+                yield pd.DataFrame({"key": [r.key], "number": [r.number], "ids": [ids]})
 
     return run
 
 
-def _cut_chunks(path: str, chunk: int):
+def _cut_chunks(longest: int, chunk: int):
     def run(frames):
-        longest = Pieces(path).longest
         for frame in frames:
             for key, text in zip(frame["key"], frame["spaced"]):
                 raw = text.encode()
                 for number, begin in enumerate(range(0, len(raw), chunk)):
-                    size = min(chunk, len(raw) - begin)
-                    yield pd.DataFrame({"key": [key], "number": [number], "size": [size], "data": [raw[begin : begin + size + longest]]})
+                    size, lead = min(chunk, len(raw) - begin), min(begin, longest)
+                    data = raw[begin - lead : begin + size + longest]
+                    yield pd.DataFrame({"key": [key], "number": [number], "lead": [lead], "size": [size], "data": [data]})
 
     return run
 
 
 def encode(docs: DataFrame, model_path: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """``doc_id, ids, score`` of every row of ``docs`` (``doc_id``, ``text``)."""
+    pieces = Pieces(model_path)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spaced = F.when(F.length("text") > 0, F.concat(F.lit(" "), "text")).otherwise("").alias("spaced")
+    spaced = F.when(F.length("text") > 0, F.concat(F.lit(" "), F.translate("text", SPACE_LETTER, " "))).otherwise("").alias("spaced")
     docs = docs.select("doc_id", spaced)
-    small = docs.where(F.octet_length("spaced") <= giant).mapInArrow(_encode(model_path), f"doc_id {kind}, ids array<int>, score double")
+    small = docs.where(F.octet_length("spaced") <= giant).mapInArrow(_encode(pieces), f"doc_id {kind}, ids array<int>, score double")
     large = docs.where(F.octet_length("spaced") > giant).select("doc_id", F.sha2("spaced", 256).alias("key"), "spaced")
     named = materialize(large.select("doc_id", "key"))
     if named.isEmpty():
         return small
-    chunks = large.select("key", "spaced").mapInPandas(_cut_chunks(model_path, chunk), "key string, number long, size long, data binary")
+    columns = "key string, number long, lead long, size long, data binary"
+    chunks = large.select("key", "spaced").mapInPandas(_cut_chunks(pieces.longest, chunk), columns)
     chunks = materialize(chunks.dropDuplicates(["key", "number"]))
-    matrices = chunks.mapInPandas(_matrices(model_path), "key string, number long, matrix binary")
-    states = matrices.groupBy("key").applyInPandas(_states, "key string, number long, enter long, leave long, score double")
-    traced = chunks.join(states, ["key", "number"]).mapInPandas(_trace_chunks(model_path), "key string, number long, ids array<int>, score double")
-    whole = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("number", "ids"))).alias("parts"), F.max("score").alias("score"))
-    whole = whole.select("key", F.flatten(F.col("parts.ids")).alias("ids"), "score")
+    matrices = materialize(chunks.mapInPandas(_matrices(pieces), "key string, number long, matrix binary"))
+    states, scores = chunk_states(matrices)
+    traced = chunks.join(states, ["key", "number"]).mapInPandas(_trace_chunks(pieces), "key string, number long, ids array<int>")
+    whole = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("number", "ids"))).alias("parts"))
+    whole = whole.select("key", F.flatten(F.col("parts.ids")).alias("ids")).join(scores, "key")
     return small.unionByName(named.join(whole, "key").select("doc_id", "ids", "score"))
 
 
@@ -434,9 +608,8 @@ def decoded(ids: pa.ListArray, pieces: Pieces) -> pa.Array:
         return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
 
-def _decode(path: str):
+def _decode(pieces: Pieces):
     def run(batches):
-        pieces = Pieces(path)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
@@ -448,4 +621,4 @@ def _decode(path: str):
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """``encoded`` (``ids`` and any other columns but ``text``) with the ``text`` of every row."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(_decode(model_path), f"{schema}, text string")
+    return encoded.mapInArrow(_decode(Pieces(model_path)), f"{schema}, text string")

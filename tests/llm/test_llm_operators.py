@@ -9,6 +9,7 @@ import time
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from contrastmill.llm.arrow_text import utf8  # noqa: E402
 from contrastmill.llm.components import components  # noqa: E402
 from contrastmill.llm.license_scan import TEMPLATES, license_matches  # noqa: E402
 from contrastmill.llm.main_text import Tree, article_nodes, density, main_text, main_texts  # noqa: E402
@@ -23,7 +25,7 @@ from contrastmill.llm.mixing import mix, mixed_documents, targets  # noqa: E402
 from contrastmill.llm.nearest_neighbours import nearest_neighbours  # noqa: E402
 from contrastmill.llm.ngram_jaccard import jaccard_components  # noqa: E402
 from contrastmill.llm.quality import quality_scores  # noqa: E402
-from contrastmill.llm.sentencepiece_scan import Pieces, decode, encode  # noqa: E402
+from contrastmill.llm.sentencepiece_scan import Known, Pieces, decode, encode, encode_rows  # noqa: E402
 from contrastmill.llm.token_counts import token_counts  # noqa: E402
 from contrastmill.llm.top_k_search import top_k_search  # noqa: E402
 from contrastmill.llm.toxicity import isotonic, toxicity_scores  # noqa: E402
@@ -237,31 +239,48 @@ def test_token_counts(spark, huge, overlap):
 
 
 def test_sentencepiece_scan(spark):
-    pieces = Pieces(PATH)
-    by_text = {t: (pieces.scores[i], 1) for i, t in pieces.text.items()}
-
-    def best(text):
-        raw = (" " + text).encode() if text else b""
-        score = [0.0] + [-np.inf] * len(raw)
-        for p in range(len(raw)):
-            if raw[p] & 0xC0 == 0x80:
-                continue
-            wide = 1 if raw[p] < 0x80 else 2 if raw[p] < 0xE0 else 3 if raw[p] < 0xF0 else 4
-            edges = [(n, by_text[raw[p : p + n]][0]) for n in range(1, pieces.longest + 1) if p + n <= len(raw) and raw[p : p + n] in by_text]
-            if wide not in [n for n, _ in edges]:
-                edges.append((wide, pieces.unknown))
-            for n, s in edges:
-                score[p + n] = max(score[p + n], score[p] + s)
-        return score[-1]
-
-    data = [(i, t) for i, t in AWKWARD if len(t or "") < 5000] + [(1, "日本語 text\n\tand 😀 ṻ"), (2, "  a   b "), (3, "thethethe" * 40), (4, prose(300))]
-    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    import sentencepiece
+
+    model, pieces = sentencepiece.SentencePieceProcessor(model_file=PATH), Pieces(PATH)
+    data = [*AWKWARD, (1, "日本語 text\n\tand 😀 ṻ"), (2, "  a   b "), (3, "thethethe" * 400), (4, prose(300)), (5, " " * 47 + "é"), (6, "\x00<s>▁x")]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("key", F.lit("clash"))
+
+    def cost(ids):
+        unknown = [i for i in ids if model.is_byte(i)]
+        return None if unknown else sum(pieces.scores[i] for i in ids)
+
+    want = sorted(((i, (t or "").replace("▁", " "), model.encode(t or "")) for i, t in data), key=repr)
     for options in ({}, {"giant": 20, "chunk": 17}, {"giant": 100, "chunk": 64}):
         out = decode(encode(df, PATH, **options), PATH)
-        assert rows(out, "doc_id", "text", "score") == sorted(((i, t or "", best(t)) for i, t in data), key=repr)
+        got = out.collect()
+        assert sorted(((r.doc_id, r.text.replace("▁", " "), r.ids) for r in got), key=repr) == want
+        assert all(r.score == cost(r.ids) for r in got if cost(r.ids) is not None)
     assert encode(df.limit(0), PATH).count() == 0
 
 
+def test_compatible_pairs_give_the_merged_pieces():
+    """Whole and cut into chunks: equal to the library on words made of pieces, whatever they are."""
+    import sentencepiece
+
+    model, pieces = sentencepiece.SentencePieceProcessor(model_file=PATH), Pieces(PATH)
+    draw = np.random.default_rng(6)
+    spelled = [t.decode() for t in pieces.text.values()]
+    texts = ["".join(spelled[i] for i in draw.integers(0, len(spelled), draw.integers(1, 20))) for _ in range(3000)]
+    texts += ["".join(draw.choice(list("abc  é日\n"), draw.integers(1, 50))) for _ in range(1000)]
+    data, at = utf8(pa.array([" " + t for t in texts]))
+    ids, begin, _ = encode_rows(data, at, pieces, Known())
+    assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == model.encode(texts)
+
+
+def test_giant_text_of_a_megabyte(spark):
+    import sentencepiece
+
+    text = "thequick" * 20_000 + prose(150_000) + " " * 1000 + "日" * 5000
+    assert len(text) > 700_000
+    got = encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).collect()
+    assert got[0].ids == sentencepiece.SentencePieceProcessor(model_file=PATH).encode(text)
+
+
 def brute_components(data):
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     sets = []
