@@ -133,8 +133,15 @@ class Pieces:
                 x, y = by_text.get(t[:cut]), by_text.get(t[cut:])
                 if x is not None and y is not None and self.valid[x] and self.valid[y]:
                     pairs[x * size + y] = max(rank[i], int(self.birth[x]), int(self.birth[y]))
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        # open addressing, a quarter full at most
+        self.pair_bits = max(4, len(pairs).bit_length() + 2)
+        self.pair_keys = np.full(1 << self.pair_bits, -1, np.int64)
+        self.pair_ranks = np.full(1 << self.pair_bits, NEVER, np.int64)
+        keys = np.array(list(pairs), np.int64)
+        for key, slot in zip(pairs, self._pair_slots(keys).tolist()):
+            while self.pair_keys[slot] >= 0:
+                slot = (slot + 1) & ((1 << self.pair_bits) - 1)
+            self.pair_keys[slot], self.pair_ranks[slot] = key, pairs[key]
         # runs of spaces merge from the left, whatever their lengths
         runs = sorted(i for i in blank if self.valid[i])
         self.blank = np.zeros(size, bool)
@@ -143,6 +150,24 @@ class Pieces:
             [x * size + y for x in runs for y in runs if merged(texts[x] + texts[y])[0] == [texts[x], texts[y]]], np.int64
         )
 
+    def _pair_slots(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(BASE)) >> np.uint64(64 - self.pair_bits)).astype(np.int64)
+
+    def pair_rank(self, key: np.ndarray) -> np.ndarray:
+        """When two neighbours merge, ``NEVER`` if they do not."""
+        slot = self._pair_slots(key)
+        there = self.pair_keys[slot]
+        rank = np.where(there == key, self.pair_ranks[slot], NEVER)
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.pair_bits) - 1)
+            here = slot[open_]
+            there = self.pair_keys[here]
+            hit = there == key[open_]
+            rank[open_[hit]] = self.pair_ranks[here[hit]]
+            open_ = open_[~hit & (there >= 0)]
+        return rank
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves ``a`` and ``b`` side by side (ids; -1: a character without a piece)."""
         size = len(self.scores)
@@ -150,13 +175,12 @@ class Pieces:
         at = np.flatnonzero((a >= 0) & (b >= 0))
         a, b = a[at].astype(np.int64), b[at].astype(np.int64)
         spaces = self.blank[a] & self.blank[b]
-        out[at[spaces]] = np.isin(a[spaces] * size + b[spaces], self.blank_pairs)
-        at, a, b = at[~spaces], a[~spaces], b[~spaces]
+        if spaces.any():
+            out[at[spaces]] = np.isin(a[spaces] * size + b[spaces], self.blank_pairs)
+            at, a, b = at[~spaces], a[~spaces], b[~spaces]
         end_a, end_b = np.full(len(at), NEVER - 1), np.full(len(at), NEVER - 1)
-        while len(at) and len(self.pair_keys):
-            key = a * size + b
-            place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            rank = np.where(self.pair_keys[place] == key, self.pair_ranks[place], NEVER)
+        while len(at):
+            rank = self.pair_rank(a * size + b)
             # the leftmost of equal merges comes first: the part of ``a`` is taken by then, that of ``b`` is not
             hit = (rank < end_a) & (rank <= end_b)
             out[at[hit]] = False
