@@ -41,6 +41,9 @@ UNKNOWN = 10.0
 GIANT = 1 << 17
 CHUNK = 1 << 15
 FAN = 64
+#: Bytes of text that are encoded at once, and cells of one forward pass: a task's work space follows them.
+SLICE = 2 << 20
+CELLS = 1 << 21
 NEVER = np.int64(1) << 40
 SPACE = 0x20
 SPACE_LETTER = "▁"
@@ -230,7 +233,15 @@ class Hashes:
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=self.total[1:])
+        # in blocks, whose powers are those of the first times one number
+        own, some = self.total[1:], powers(BASE, min(n, 1 << 16))
+        for first in range(0, n, 1 << 16):
+            part = own[first : first + (1 << 16)]
+            part[:] = data[first : first + (1 << 16)]
+            part += np.uint64(1)
+            part *= some[: len(part)]
+            part *= np.uint64(pow(BASE, first, 1 << 64))
+        np.cumsum(own, out=own)
         self.inverse = powers(INVERSE, n + 1)
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -254,20 +265,20 @@ def cuts(data: np.ndarray, isolated: np.ndarray) -> np.ndarray:
     return cut & starts_character(data)
 
 
-def segment(data: np.ndarray, begin: np.ndarray, end: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The one finite path through each of many stretches: ids of all, where each stretch's begin, scores.
+def segment(data: np.ndarray, begin: np.ndarray, end: np.ndarray, pieces: Pieces, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The one finite path through each of many stretches: ids of all, where each stretch's begin, how many, scores.
 
     Stretches of about the same length advance together, byte by byte.
     """
-    hashes = Hashes(data)
-    scores, steps = np.zeros(len(begin)), []
+    scores, flat, done = np.zeros(len(begin)), [np.zeros(0, np.int32)], 0
+    starts, counts = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
     size = end - begin
     order = np.argsort(size, kind="stable")
     first = 0
     while first < len(order):
         longest = max(8, int(size[order[first]] * 1.25))
         last = int(np.searchsorted(size[order], longest, "right"))
-        last = min(last, first + max(1, (1 << 22) // (longest + 1)))
+        last = min(last, first + max(1, CELLS // (longest + 1)))
         group = order[first:last]
         first = last
         b, n = begin[group], size[group]
@@ -305,19 +316,20 @@ def segment(data: np.ndarray, begin: np.ndarray, end: np.ndarray, pieces: Pieces
                 who, step = who[better], step[better]
                 best[t + step, who], came[t + step, who], by[t + step, who] = value[better], step, -1
         scores[group] = best[n, np.arange(len(group))]
-        lane, at = np.arange(len(group)), n.copy()
+        lane, at, steps = np.arange(len(group)), n.copy(), []
         while len(lane):
             length, piece = came[at, lane], by[at, lane]
             at = at - length
-            steps.append((group[lane], b[lane] + at, piece, length))
+            steps.append((lane, b[lane] + at, piece, length))
             lane, at = lane[at > 0], at[at > 0]
-    if not steps:
-        return np.zeros(0, np.int32), np.zeros(len(begin) + 1, np.int64), scores
-    of, start, piece, length = (np.concatenate(x) for x in zip(*steps))
-    order = np.lexsort((start, of))
-    of, start, piece, length = of[order], start[order], piece[order], length[order]
-    ids, count = with_bytes(data, start, piece, length, pieces)
-    return ids, np.concatenate([[0], np.cumsum(np.bincount(of, count, len(begin)).astype(np.int64))]), scores
+        of, start, piece, length = (np.concatenate(x) for x in zip(*steps))
+        path = np.lexsort((start, of))
+        ids, count = with_bytes(data, start[path], piece[path], length[path], pieces)
+        counts[group] = np.bincount(of[path], count, len(group))
+        starts[group] = done + np.cumsum(counts[group]) - counts[group]
+        flat.append(ids)
+        done += len(ids)
+    return np.concatenate(flat), starts, counts, scores
 
 
 def with_bytes(data, start, piece, length, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -346,15 +358,15 @@ class Known:
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         return at, self.codes[at] == codes
 
-    def add(self, codes, ids, offsets, scores) -> None:
-        starts = len(self.flat) + offsets[:-1]
+    def add(self, codes, ids, starts, lengths, scores) -> None:
+        """Sorted codes that are not there yet, with what belongs to each."""
+        starts = len(self.flat) + starts
         self.flat = np.concatenate([self.flat, ids])
-        codes = np.concatenate([self.codes, codes])
-        order = np.argsort(codes)
-        self.codes = codes[order]
-        self.starts = np.concatenate([self.starts, starts])[order]
-        self.lengths = np.concatenate([self.lengths, np.diff(offsets)])[order]
-        self.scores = np.concatenate([self.scores, scores])[order]
+        at = np.searchsorted(self.codes, codes)
+        self.codes = np.insert(self.codes, at, codes)
+        self.starts = np.insert(self.starts, at, starts)
+        self.lengths = np.insert(self.lengths, at, lengths)
+        self.scores = np.insert(self.scores, at, scores)
 
 
 def encode_rows(data: np.ndarray, at: np.ndarray, pieces: Pieces, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -364,12 +376,13 @@ def encode_rows(data: np.ndarray, at: np.ndarray, pieces: Pieces, known: Known)
     new[at[:-1][at[:-1] < n]] = True
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], n) if len(begin) else begin
-    distinct, example, which = np.unique(Hashes(data).of(begin, end), return_index=True, return_inverse=True)
+    hashes = Hashes(data)
+    distinct, example, which = np.unique(hashes.of(begin, end), return_index=True, return_inverse=True)
     if len(known.codes) > known.most:
         known.reset()
     _, there = known.places(distinct)
     fresh = example[~there]
-    known.add(distinct[~there], *segment(data, begin[fresh], end[fresh], pieces))
+    known.add(distinct[~there], *segment(data, begin[fresh], end[fresh], pieces, hashes))
     place, _ = known.places(distinct)
     place = place[which]
     count = known.lengths[place]
@@ -386,7 +399,7 @@ def _encode(pieces: Pieces):
         known = Known()
         for batch in batches:
             data, at = utf8(batch.column("spaced"))
-            for first, last in slices(at, 4 << 20):
+            for first, last in slices(at, SLICE):
                 part, begin = data[at[first] : at[last]], at[first : last + 1] - at[first]
                 ids, offsets, scores = encode_rows(part, begin, pieces, known)
                 yield pa.RecordBatch.from_arrays(
@@ -608,11 +621,11 @@ def encode(docs: DataFrame, model_path: str, giant: int = GIANT, chunk: int = CH
     return small.unionByName(named.join(whole, "key").select("doc_id", "ids", "score"))
 
 
-def decoded(ids: pa.ListArray, pieces: Pieces) -> pa.Array:
+def decoded(ids: pa.ListArray, spelling: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
     """The text of each list of ids; null lists count as empty."""
     flat = ids.flatten().to_numpy()
     rows = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy().astype(np.int64))])
-    starts, lengths, table = pieces.spelling()
+    starts, lengths, table = spelling
     flat = np.where((flat >= 0) & (flat < len(starts)), flat, 0)
     size = lengths[flat]
     total = np.concatenate([[0], np.cumsum(size)])
@@ -632,12 +645,12 @@ def decoded(ids: pa.ListArray, pieces: Pieces) -> pa.Array:
         return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
 
-def _decode(pieces: Pieces):
+def _decode(spelling: tuple[np.ndarray, np.ndarray, np.ndarray]):
     def run(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                yield pa.RecordBatch.from_arrays([*part.columns, decoded(part.column("ids"), pieces)], [*part.schema.names, "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded(part.column("ids"), spelling)], [*part.schema.names, "text"])
 
     return run
 
@@ -645,4 +658,4 @@ def _decode(pieces: Pieces):
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """``encoded`` (``ids`` and any other columns but ``text``) with the ``text`` of every row."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(_decode(Pieces(model_path)), f"{schema}, text string")
+    return encoded.mapInArrow(_decode(Pieces(model_path).spelling()), f"{schema}, text string")
