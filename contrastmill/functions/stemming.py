@@ -1,12 +1,17 @@
 """English stemming (the published Porter2 rules) as one column expression.
 
-Apply it to words already counted, one row per group and word: it stays in the JVM and runs on
-vocabulary-sized data. Each rule needs the word the one before it made several times over, so
-intermediate words are bound to lambda variables rather than repeated in the expression.
+Apply it to words already counted, one row per group and word, so that it runs on vocabulary-sized
+data. ``stem`` does so in Arrow batches. ``stem_expression`` is the same rules as an expression of
+the JVM, which takes far longer, as Spark interprets it: each rule needs the word the one before it
+made several times over, so intermediate words are bound to lambda variables. It remains for the
+words in which its regular expressions see ends of lines or halves of characters.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -189,8 +194,8 @@ def _regular(word: Column) -> Column:
     return F.translate(stem, "Y", "y")
 
 
-def stem(word: Column) -> Column:
-    """Stem of the lower-cased word."""
+def stem_expression(word: Column) -> Column:
+    """Stem of the lower-cased word, all in the JVM."""
 
     def choose(w: Column) -> Column:
         chain = F.when(F.length(w) <= 2, w)
@@ -199,3 +204,107 @@ def stem(word: Column) -> Column:
         return chain.otherwise(_regular(w))
 
     return bind(F.lower(word), choose)
+
+
+# Words with characters that end a line for Java, or that it counts as two.
+_UNUSUAL = "[\\n\\r\\x{85}\\x{2028}\\x{2029}\\x{10000}-\\x{10FFFF}]"
+
+_VOWEL_OTHER, _HAS_VOWEL = re.compile(_VOWEL + _OTHER), re.compile(_VOWEL)
+_FIXED, _SHORT = re.compile("gener|commun|arsen"), re.compile(_SHORT_END)
+_PLURAL_S, _VOWEL_Y = re.compile(f"{_VOWEL}.+s$"), re.compile("([aeiouy])y")
+_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+
+
+def _by_length(endings) -> tuple[str, ...]:
+    return tuple(sorted(endings, key=len, reverse=True))
+
+
+_PAST, _ENDS2, _ENDS3, _ENDS4 = map(_by_length, (("eedly", "ingly", "edly", "eed", "ing", "ed"), STEP2, STEP3, STEP4))
+
+
+def _ending(w: str, endings: tuple[str, ...]) -> str:
+    return next((e for e in endings if w.endswith(e)), "") if w.endswith(endings) else ""
+
+
+def _after(w: str, first: int) -> int:
+    hit = _VOWEL_OTHER.search(w, first)
+    return hit.end() if hit else len(w)
+
+
+def stem_word(w: str) -> str:
+    """Stem of a word in lower case, without the characters of ``_UNUSUAL``."""
+    if len(w) <= 2:
+        return w
+    if w in WHOLE_WORDS:
+        return WHOLE_WORDS[w]
+    w = w.removeprefix("'")
+    if w.startswith("y"):
+        w = "Y" + w[1:]
+    w = _VOWEL_Y.sub(r"\1Y", w)
+    fixed = _FIXED.match(w)
+    r1 = fixed.end() if fixed else _after(w, 0)
+    r2 = _after(w, r1) if r1 < len(w) else r1
+    w = w.removesuffix(_ending(w, ("'s'", "'s", "'")))
+    # plurals
+    if w.endswith(("s", "ied")):
+        s = _ending(w, ("sses", "ied", "ies", "us", "ss", "s"))
+        if s == "sses":
+            w = w[:-2]
+        elif s in ("ied", "ies"):
+            w = w[:-2] if len(w) > 4 else w[:-1]
+        elif s == "s" and _PLURAL_S.search(w):
+            w = w[:-1]
+    if w in KEPT_AFTER_PLURAL:
+        return w.replace("Y", "y")
+    # past and progressive
+    s = _ending(w, _PAST)
+    if s:
+        part = w[: -len(s)]
+        if s in ("eed", "eedly"):
+            w = part + "ee" if len(part) >= r1 else w
+        elif _HAS_VOWEL.search(part):
+            if part.endswith(("at", "bl", "iz")):
+                w = part + "e"
+            elif part.endswith(_DOUBLES):
+                w = part[:-1]
+            else:
+                w = part + "e" if r1 >= len(part) and _SHORT.search(part) else part
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in "aeiouy":
+        w = w[:-1] + "i"
+    s = _ending(w, _ENDS2)
+    if s:
+        part = w[: -len(s)]
+        allowed = part[-1:] in tuple("cdeghkmnrt") if s == "li" else part[-1:] == "l" if s == "ogi" else True
+        if len(part) >= r1 and allowed:
+            w = part + STEP2[s]
+    s = _ending(w, _ENDS3)
+    if s:
+        part = w[: -len(s)]
+        if len(part) >= r1 and (s != "ative" or len(part) >= r2):
+            w = part + STEP3[s]
+    s = _ending(w, _ENDS4)
+    if s:
+        part = w[: -len(s)]
+        if len(part) >= r2 and (s != "ion" or part[-1:] in ("s", "t")):
+            w = part
+    if w.endswith(("e", "l")):
+        part = w[:-1]
+        if w[-1] == "e":
+            if len(part) >= r2 or (len(part) >= r1 and not _SHORT.search(part)):
+                w = part
+        elif len(part) >= r2 and part.endswith("l"):
+            w = part
+    return w.replace("Y", "y")
+
+
+def stem(word: Column) -> Column:
+    """Stem of the lower-cased word.
+
+    A filter on the result is not pushed below it, which would make the stems twice.
+    """
+
+    def stems(words: pa.Array) -> pa.Array:
+        return pa.array([None if w is None else stem_word(w) for w in words.to_pylist()], pa.string())
+
+    plain = F.arrow_udf(stems, "string").asNondeterministic()
+    return F.when(word.rlike(_UNUSUAL), stem_expression(word)).otherwise(plain(F.lower(word)))

@@ -195,3 +195,31 @@ def test_percentages_round_by_the_exact_value(spark):
         text = f"{row.x * 100:.2f}"
         assert row.text == ("100.0" if text == "100.00" else text.rjust(5, "0"))
         assert row.n == round(round(row.x, 2) * 100)
+
+
+def test_stems_of_batches_equal_those_of_the_expression(spark):
+    import random
+
+    from contrastmill.functions.stemming import _ENDS2, _ENDS3, _ENDS4, _PAST, WHOLE_WORDS, stem_expression
+
+    draw = random.Random(8)
+    ends = (*_PAST, *_ENDS2, *_ENDS3, *_ENDS4, "s", "'s", "'s'", "'", "ies", "ied", "sses", "us", "ss", "y", "e", "ll", "")
+    starts = ("gener", "commun", "arsen", "y", "'", "inn", "")
+    made = {
+        draw.choice(starts) + "".join(draw.choice("aeiouybdlstY'") for _ in range(draw.randint(0, 5))) + draw.choice(ends) + draw.choice(ends)
+        for _ in range(6000)
+    }
+    made |= {*WHOLE_WORDS, "", "é", "ÉTÉS", "running ", "hops\n", "\U0001d4b6ying", "日本語ing", "proceeds", "inning's", "a.b", "''"}
+    df = spark.createDataFrame([(w,) for w in sorted(made)] + [(None,)], "w string")
+    both = df.select("w", stem(F.col("w")).alias("got"), stem_expression(F.col("w")).alias("want")).collect()
+    assert [r for r in both if r.got != r.want] == []
+
+
+def test_words_are_stemmed_once_and_in_batches(spark):
+    from contrastmill.operators.words import clean_words
+
+    counts = spark.createDataFrame([("p", "g", "running.", 2), ("p", "g", "runs", 1), ("p", "g", "...", 4)], "population string, g string, word string, tf long")
+    found = clean_words(counts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "transform(" not in plan.split("ArrowEvalPython")[0].split("HashAggregate")[0]
+    assert {(r.word, r.tf) for r in found.collect()} == {("running", 2), ("run", 1)}
