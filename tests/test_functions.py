@@ -223,3 +223,14 @@ def test_words_are_stemmed_once_and_in_batches(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "transform(" not in plan.split("ArrowEvalPython")[0].split("HashAggregate")[0]
     assert {(r.word, r.tf) for r in found.collect()} == {("running", 2), ("run", 1)}
+
+
+def test_versions_of_addons_are_sorted_without_a_function(spark):
+    from contrastmill.operators.features import addon_family
+
+    listed = ["b:2", "a:1", "x", "a:1", "b:1", "a:0:5", ":", "b:2", None]
+    df = spark.createDataFrame([(1, listed), (2, []), (3, None)], "i int, addons array<string>")
+    found = df.select("i", addon_family("addons").versions().alias("v"))
+    assert "array_sort(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.i: None if r.v is None else [tuple(x) for x in r.v] for r in found.collect()}
+    assert got == {1: [("", ""), ("a", "1"), ("b", "2")], 2: [], 3: None}
