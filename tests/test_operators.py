@@ -217,6 +217,22 @@ def test_pattern_index_of_a_large_dictionary(spark):
     assert {(r.g, r.name): r.count_group for r in counted.collect()} == dict(expected)
 
 
+def test_patterns_of_all_lengths_are_found_by_their_own_bytes(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "SLICE", 64)
+    monkeypatch.setattr(patterns, "BLOCK", 16)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abé\0€𝄞") for _ in range(n)) for n in (0, 1, 7, 20, 40, 300, 300)] * 2 + ["a" * 500, None, ""]
+    strings = {t[i : i + n] for t in texts if t for n in (1, 2, 3, 4, 5, 8, 9, 12, 15, 16, 17, 18, 40, 200) for i in range(0, len(t), 37)}
+    strings |= {"", "a" * 16, "a" * 17, "a" * 400, "a" * 501, "b" * 16, "b" * 17, "ab\0", "€" * 6}
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    dictionary = spark.createDataFrame([(x,) for x in sorted(strings)] * 2, "pattern string")
+    hits = patterns.pattern_hits(rows, "text", dictionary, ["row"])
+    want = sorted((i, x) for i, t in enumerate(texts) if t is not None for x in strings if x in t)
+    assert sorted(map(tuple, hits.collect())) == want
+    # a text is not repeated for each of its parts
+    assert "Generate" not in hits._jdf.queryExecution().toString()
+
+
 def test_ranks_and_row_numbers(spark):
     rng = random.Random(4)
     pairs_ = {(rng.choice(["a", "b", None]), rng.choice([None, *map(str, range(400))])) for _ in range(900)}
