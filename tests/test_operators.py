@@ -266,6 +266,19 @@ def test_records_count_once_in_the_job(spark):
     assert {(r.g, r.member): r.count_group for r in alone} == dict(collections.Counter((g, m) for g, _, m in seen))
 
 
+def test_only_records_of_different_rows_are_told_apart(spark):
+    rows = [("x", "u1", ["a", "b"]), ("x", "u1", ["a", "b"]), ("x", "u2", ["a"]), ("x", "u2", ["a", "c"]), ("y", "u2", ["a"])]
+    rows += [(None, "u3", ["a"]), ("x", "u4", []), ("x", None, ["a"]), ("x", None, ["a"]), (None, None, None)]
+    df = spark.createDataFrame([("all", *r) for r in rows], "population string, g string, id string, `@module` array<string>")
+    slot = items.Slot(3, "members", "@module", "bool", "module", None, "id")
+    alone, told = ([(r.g, r.record, r.m3) for r in x.collect()] for x in items._record_rows(df, [slot], "id"))
+    assert sorted(told, key=repr) == [("x", "u2", ["a", "c"]), ("x", "u2", ["a"])]
+    want = [("x", "u1", ["a", "b"]), ("y", "u2", ["a"]), (None, "u3", ["a"]), ("x", "u4", []), ("x", None, ["a"]), ("x", None, ["a"]), (None, None, None)]
+    assert sorted(alone, key=repr) == sorted(want, key=repr)
+    counts = {(r.g, r.name): r.count_group for r in items.item_counts(df, items.Layout((slot,), ())).collect()}
+    assert counts == {("x", "a"): 4, ("x", "b"): 1, ("x", "c"): 1, ("y", "a"): 1}
+
+
 @pytest.mark.parametrize("overlapping", [False, True])
 def test_bitmaps_against_enumeration(spark, monkeypatch, overlapping):
     rng = random.Random(12)
