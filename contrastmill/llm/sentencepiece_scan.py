@@ -603,10 +603,14 @@ def encode(docs: DataFrame, model_path: str, giant: int = GIANT, chunk: int = CH
     """``doc_id, ids, score`` of every row of ``docs`` (``doc_id``, ``text``)."""
     pieces = Pieces(model_path)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spaced = F.when(F.length("text") > 0, F.concat(F.lit(" "), F.translate("text", SPACE_LETTER, " "))).otherwise("").alias("spaced")
-    docs = docs.select("doc_id", spaced)
-    small = docs.where(F.octet_length("spaced") <= giant).mapInArrow(_encode(pieces), f"doc_id {kind}, ids array<int>, score double")
-    large = docs.where(F.octet_length("spaced") > giant).select("doc_id", F.sha2("spaced", 256).alias("key"), "spaced")
+    text = F.replace(F.make_valid_utf8("text"), F.lit(SPACE_LETTER), F.lit(" "))
+    spaced = F.when(F.length("text") > 0, F.concat(F.lit(" "), text)).otherwise("").alias("spaced")
+    # the length as it is comes first: a text that is shorter than ``giant`` is not spaced to be told apart
+    near, size = F.octet_length("text") >= giant, F.octet_length(spaced)
+    small = docs.where(~near | (size <= giant)).select("doc_id", spaced)
+    small = small.mapInArrow(_encode(pieces), f"doc_id {kind}, ids array<int>, score double")
+    large = docs.where(near & (size > giant)).select("doc_id", spaced)
+    large = large.select("doc_id", F.sha2("spaced", 256).alias("key"), "spaced")
     named = materialize(large.select("doc_id", "key"))
     if named.isEmpty():
         return small

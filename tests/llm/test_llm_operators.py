@@ -258,6 +258,19 @@ def test_sentencepiece_scan(spark):
     assert encode(df.limit(0), PATH).count() == 0
 
 
+def test_giant_texts_are_told_apart_by_their_length_as_it_is(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = [None, "", "a" * 29, "a" * 30, "▁" * 10, "▁" * 11, "é" * 14, "é" * 15, "a▁b" * 9, "a�b"]
+    raw = [None if t is None else t.encode() for t in texts[:-1]] + [b"a\xffb"]
+    df = spark.createDataFrame(list(enumerate(raw)), "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    found = encode(df, PATH, giant=30)
+    assert {r.doc_id: r.ids for r in found.collect()} == {i: model.encode(t or "") for i, t in enumerate(texts)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length(cast(raw" in plan and "translate(" not in plan
+
+
 def test_compatible_pairs_give_the_merged_pieces():
     """Whole and cut into chunks: equal to the library on words made of pieces, whatever they are."""
     import sentencepiece
