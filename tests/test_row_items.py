@@ -46,7 +46,7 @@ def row_of(kind, addons, modules):
 def test_items_of_lists_are_counted_in_batches(spark, many):
     rows = odd_rows()
     tagged, layout = prepared(spark, rows)
-    plan = items._counted_rows(tagged, layout)._jdf.queryExecution().optimizedPlan().toString()
+    plan = items._row_counts(tagged, layout)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan and "sort_array(" not in plan
     own, total = collections.Counter(), collections.Counter()
     for p, g, *rest in rows:
