@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contrastmill.operators import groups, items, pairs, pruning, row_items
+from contrastmill.operators import bitmaps, groups, items, pairs, pruning, row_items
 from contrastmill.operators.features import FeatureSet, addon_family, derive_features, module_family
 from contrastmill.operators.items import Layout
 
@@ -69,10 +69,11 @@ def test_known_items_find_their_rows(spark, monkeypatch, most):
     found = pairs.occurrences(tagged, layout, level1)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert ("MapInArrow" in plan) == (most > 0) == ("inline(" not in plan)
+    assert ("items" in found.columns) == (most > 0)
     ids = {(r.key, r.value, r.family): r.item_id for r in level1.collect()}
     of_row = collections.defaultdict(list)
     for r in found.collect():
-        of_row[r.population, r.g, r.row].append(r.item_id)
+        of_row[r.population, r.g, r.row] += r.items if most else [r.item_id]
     got = collections.Counter((p, g, tuple(sorted(own))) for (p, g, _), own in of_row.items())
     listed = [(p, g, tuple(sorted(ids[i] for i in row_of(*rest) if i in ids))) for p, g, *rest in rows]
     assert got == collections.Counter(x for x in listed if x[2])
@@ -103,3 +104,38 @@ def test_only_items_that_can_pass_get_a_reference_count(spark):
     assert counts[0.2].count() < counts[None].count()
     bound = {(r.population, r.g): r.least for r in groups.support_bounds(totals, 0.2).collect()}
     assert bound["q", None] == pytest.approx(0.2) and bound["p", "tiny"] == pytest.approx(0.2)
+
+
+def test_bitmaps_of_lists_and_of_single_occurrences_agree(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(rng.choice("pq"), rng.choice(["x", None]), i, sorted({(rng.randrange(5) << 32) + rng.randrange(9) for _ in range(rng.randrange(7))})) for i in range(300)]
+    lists = spark.createDataFrame(rows, "population string, g string, `row` long, items array<long>").repartition(2)
+    single = lists.select("population", "g", "row", F.explode("items").alias("item_id"))
+    monkeypatch.setattr(bitmaps, "BLOCK_BITS", 6)
+    found = []
+    for df, held in ((single, 1 << 20), (lists, 1 << 20), (lists, 10)):
+        monkeypatch.setattr(bitmaps, "HELD", held)
+        held_by = collections.defaultdict(set)
+        for r in bitmaps.row_bitmaps(df).collect():
+            places = np.frombuffer(r.places, "<u2").tolist() + np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")).tolist()
+            held_by[r.population, r.block, r.item_id, r.is_group, r.g] |= set(places)
+        found.append(dict(held_by))
+    want = collections.defaultdict(set)
+    for p, g, i, own in rows:
+        for item in own:
+            want[p, i >> 6, item, False, None].add(i & 63)
+            want[p, i >> 6, None, True, g].add(i & 63)
+    assert found == [dict(want)] * 3
+
+
+def test_segments_of_any_range():
+    rng = np.random.default_rng(4)
+    near, place = rng.integers(0, 6, 500), rng.integers(0, 40, 500)
+    far = np.array([-(1 << 60), 0, 5, 1 << 61, 7, 8])[near]
+    (a,), begin, places = bitmaps._segments([far], place)
+    (b,), begins, same = bitmaps._segments([near * 1000 - 5], place)
+    ends = np.append(begin[1:], len(places))
+    got = {(int(c), int(x)) for c, i, j in zip(a, begin, ends) for x in places[i:j]}
+    assert got == set(zip(far.tolist(), place.tolist())) and len(places) == len(got)
+    got = {(int(c), int(x)) for c, i, j in zip(b, begins, np.append(begins[1:], len(same))) for x in same[i:j]}
+    assert got == set(zip((near * 1000 - 5).tolist(), place.tolist())) and len(same) == len(got)
