@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,22 @@ def test_segments_of_any_range():
     assert got == set(zip(far.tolist(), place.tolist())) and len(places) == len(got)
     got = {(int(c), int(x)) for c, i, j in zip(b, begins, np.append(begins[1:], len(same))) for x in same[i:j]}
     assert got == set(zip((near * 1000 - 5).tolist(), place.tolist())) and len(same) == len(got)
+
+
+def test_work_space_does_not_change_counts(spark, monkeypatch):
+    found = []
+    for words, merged in ((1 << 22, 1 << 18), (7, 5)):
+        monkeypatch.setattr(row_items, "WORDS", words)
+        monkeypatch.setattr(row_items, "MERGED", merged)
+        tagged, layout = prepared(spark, odd_rows(seed=5))
+        found.append(sorted(map(str, items.item_counts(tagged, layout).collect())))
+    assert found[0] == found[1] and len(found[0]) > 20
+
+
+def test_a_task_takes_its_rows_in_parts(monkeypatch):
+    monkeypatch.setattr(row_items, "WORDS", 4)
+    lists = [["a"] * 3, None, ["b"] * 2, ["c"] * 9, [], ["d"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], ["c0"])
+    parts = list(row_items.some_rows(iter([batch, batch.slice(0, 0)]), [(1, "listed", "c0")]))
+    assert [x for p in parts for x in p.column("c0").to_pylist()] == lists
+    assert len(parts) > 2 and all(p.num_rows == 1 or len(p.column("c0").flatten()) <= 4 for p in parts)
